@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, lm, pii, url_filter, warc
-from .common import table
+from . import bpe, decontaminate, exact_dedup, lm, pii, quality, shingle_join, toxicity, url_filter, warc
+from .common import remainder, table
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,17 +19,34 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.size(F.filter(F.zip_with("found", "given", lambda a, b: a != b), lambda x: x)).cast("long").alias("n_replaced"))
 
 
+def _labelled(spark: SparkSession, sf_dir: str, operator, threshold: float) -> DataFrame:
+    out = operator.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep={"held_out": remainder(F.col("doc_id"), 3) == 1})
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labelled(spark, sf_dir, toxicity, 0.7)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labelled(spark, sf_dir, quality, 0.5)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.similar(table(spark, sf_dir, "documents"))[0]
+
+
 def captures(pages: DataFrame) -> DataFrame:
     """Captures of pages, since the tables have none: every third page is a not-modified revisit of its URL; validators and
     times follow from page_id."""
@@ -52,4 +69,14 @@ def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_pii, op4_url_filter, op6_bpe, op8_warc, op9_lm)}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_pii, op3_toxicity, op4_url_filter, op5_quality, op6_bpe, op7_shingle_join, op8_warc, op9_lm, op10_decontaminate, pipeline)}

@@ -18,7 +18,7 @@ with parts as (
       regexp_replace(lower(regexp_extract(bare, '^[^:/?#]+://([^/?#]*)', 1)), '^www\.|:(80|443)$', '', 'g'),
       regexp_replace(regexp_extract(bare, '^[^:/?#]+://[^/?#]*([^?]*)', 1), '/+$', ''),
       case when len(kept) > 0 then concat('?', array_to_string(kept, '&')) else '' end) else url end as canonical_url
-  from (select *, list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), p -> p <> '' and not regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=.*)?$')) as kept from parts)
+  from (select *, list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda p: p <> '' and not regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=.*)?$')) as kept from parts)
 ), r as (
   select *, (page_id * 7919) % (86400 * 30) as at, page_id % 3 = 0 as revisit, concat('"', cast(length(url) % 2 as varchar), '"') as etag from canon
 ), hits as (

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PASSAGE, WINDOW, BLOCK = 64, 64, 2000
+PASSAGE, WINDOW, BLOCK = 64, 64, 1000
 EDGES = re.compile(rb"^[^\w\x80-\xff]+|[^\w\x80-\xff]+$")
 UPPER = bytes(range(65, 91))
 LOWER = bytes.maketrans(UPPER, UPPER.lower())
@@ -59,7 +59,8 @@ class Index:
     def __init__(self, items, terms, vectors, passages):
         self.items, self.terms, self.vectors, self.passages = items, terms, vectors, passages
         self.plain: list[tuple[int, bytes]] = []
-        self.terms_of: list[tuple[set[int], float]] = []
+        self.known: dict[bytes, int] = {}
+        self.holds, self.least = np.zeros((0, 0), np.uint8), np.zeros(0)
 
 
 def _passages(items: DataFrame, item_id: str, text: str, answer: str | None) -> list[tuple[int, list[bytes], list[bytes]]]:
@@ -143,56 +144,61 @@ class Scanner:
         for index in indexes:
             _, has, texts, _ = index.passages
             index.plain = [(p, b" " + b" ".join(t) + b" ") for p, t in enumerate(texts) if not has[p] or sum(w in index.terms for w in t) < terms]
-            term_sets = [{index.terms[w] for w in t if w in index.terms} for t in texts]
-            index.terms_of = [(own, len(own) - (1 - share) * len(t) - 1e-9) for own, t in zip(term_sets, texts)]
+            index.holds = np.zeros((len(index.terms), len(texts)), np.uint8)
+            for p, t in enumerate(texts):
+                index.holds[[index.terms[w] for w in t if w in index.terms], p] = 1
+            index.least = index.holds.sum(axis=0) - np.array([(1 - share) * len(t) + 1e-9 for t in texts])
         self.indexes, self.cosine, self.share, self.answer_share, self.terms, self.words = indexes, cosine, share, answer_share, terms, Words()
 
     def __call__(self, text: bytes) -> list[tuple[int, int, float, float]]:
-        words, found = self.words(text), {}
-        half = WINDOW // 2
+        raw, found, half = text.translate(LOWER).split(), {}, WINDOW // 2
         for index in self.indexes:
-            units, _, texts, answers = index.passages
-            hits = [(k, t) for k, t in enumerate(map(index.terms.get, words)) if t is not None]
-            if hits:
-                at = np.array([k for k, _ in hits]) // half
-                many = np.bincount(at, minlength=len(words) // half + 2)
-                first = np.concatenate(([0], np.cumsum(many)))
+            known, (units, _, texts, answers) = index.known, index.passages
+            if len(known) > 500_000:
+                known.clear()
+            for w in set(raw).difference(known):
+                known[w] = index.terms.get(EDGES.sub(b"", w), -1)
+            ids = np.fromiter(map(known.__getitem__, raw), np.int64, len(raw))
+            hits = np.flatnonzero(ids >= 0)
+            if len(hits) >= self.terms:
+                # Half windows that have hits, and sums over them; hits of a half are consecutive.
+                at, begins, counts = np.unique(hits // half, return_index=True, return_counts=True)
+                terms, size = ids[hits], len(raw) // half + 2
+                many, vectors = np.zeros(size, np.int64), np.zeros((size, units.shape[1]), np.float32)
+                many[at], vectors[at] = counts, np.add.reduceat(index.vectors[terms], begins, axis=0)
                 open_ = np.flatnonzero(many[:-1] + many[1:] >= self.terms)
-                if len(open_):
-                    # Sums over the hits of a window, which are consecutive.
-                    found_terms = np.array([t for _, t in hits])
-                    own = np.stack([index.vectors[found_terms[first[k] : first[k + 2]]].sum(axis=0) for k in open_])
-                    near = own @ units.T / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
-                    ids_of: dict[int, set[int]] = {}
-                    for k, p in zip(*np.nonzero(near >= self.cosine)):
-                        # A passage misses at most so many words, so at least the rest of its terms are in reach.
-                        h = int(open_[k])
-                        if h not in ids_of:
-                            ids_of[h] = set(found_terms[first[max(0, h - 2)] : first[min(len(first) - 1, h + 4)]].tolist())
-                        own_terms, least = index.terms_of[p]
-                        if len(own_terms & ids_of[h]) < least:
-                            continue
-                        start = h * half
-                        self._verify(index, int(p), words, start, float(near[k, p]), texts, answers, found)
+                own = vectors[open_] + vectors[open_ + 1]
+                near = own @ units.T / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
+                # A passage misses at most so many words, so at least the rest of its terms are in reach.
+                held = np.zeros((size + 1, len(texts)), np.int32)
+                held[at + 1] = np.add.reduceat(index.holds[terms].astype(np.int32), begins, axis=0)
+                held = np.cumsum(held, axis=0)
+                reach = held[np.minimum(open_ + 4, size)] - held[np.maximum(open_ - 2, 0)]
+                for k, p in zip(*np.nonzero((near >= self.cosine) & (reach >= index.least))):
+                    h = int(open_[k])
+                    inside = terms[np.searchsorted(hits, max(0, h - 2) * half) : np.searchsorted(hits, (h + 4) * half)]
+                    if index.holds[np.unique(inside), p].sum() < index.least[p]:
+                        continue
+                    self._verify(index, int(p), raw, h * half, float(near[k, p]), texts, answers, found)
             # Passages without enough terms of their own are sought word for word.
             if index.plain:
-                whole = b" " + b" ".join(words) + b" "
+                whole = b" " + b" ".join(self.words(text)) + b" "
                 for p, joined in index.plain:
                     if joined in whole:
                         found.setdefault(index.items[p], (index.items[p], whole[: whole.index(joined)].count(b" "), 1.0, 1.0))
         return sorted(found.values())
 
-    def _verify(self, index, p, words, start, cosine, texts, answers, found):
+    def _verify(self, index, p, raw, start, cosine, texts, answers, found):
         item, passage = index.items[p], texts[p]
         if item in found and found[item][3] == 1.0:
             return
-        region = words[max(0, start - len(passage)) : start + WINDOW + len(passage)]
+        region = [x for w in raw[max(0, start - len(passage)) : start + WINDOW + len(passage)] if (x := EDGES.sub(b"", w))]
         share = common_length(passage, region) / len(passage)
         if share >= self.share and common_length(answers[p], region) >= self.answer_share * len(answers[p]) and (item not in found or found[item][3] < share):
             found[item] = (item, start, cosine, share)
 
 
-def scanner(items: DataFrame, item_id: str = "item_id", text: str = "text", answer: str | None = None, rank: int = 160, common: float = 0.1, cosine: float = 0.35, share: float = 0.7, answer_share: float = 0.6, terms: int = 3) -> Scanner:
+def scanner(items: DataFrame, item_id: str = "item_id", text: str = "text", answer: str | None = None, rank: int = 160, common: float = 0.05, cosine: float = 0.35, share: float = 0.7, answer_share: float = 0.6, terms: int = 3) -> Scanner:
     passages = _passages(items, item_id, text, answer)
     return Scanner([_index(items.sparkSession, passages[k : k + BLOCK], rank, common) for k in range(0, len(passages), BLOCK)], cosine, share, answer_share, terms)
 

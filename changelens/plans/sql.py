@@ -124,8 +124,8 @@ SQL = {
       spans as (select changeset_id, file, sym_idx, line, end_line, {FIRST_OLD.format(c='o.line')} as of_, {FIRST_OLD.format(c='o.end_line')} as ot from new n where exists (select 1 from old o where {MATCH})),
       j as (select s.changeset_id, s.sym_idx, l.file_idx, l.line_no, l.raw like '+%' as plus, regexp_replace(substr(l.raw, 2), '\\s', '', 'g') as body, trim(substr(l.raw, 2)) as t from spans s join numbered l on l.changeset_id = s.changeset_id and l.path = s.file and regexp_matches(l.raw, '^[+-]') and case when l.raw like '+%' then l.new_line between s.line and s.end_line else l.old_line between s.of_ and s.ot end),
       k as (select *, regexp_matches(t, '^(//|#|/\\*|\\*|\"\"\"|'''''')') as doc from j),
-      a as (select changeset_id, sym_idx, coalesce(string_agg(body, '' order by file_idx, line_no) filter (plus), '') as x, coalesce(string_agg(body, '' order by file_idx, line_no) filter (not plus), '') as y, bool_and(doc or t = '') as alld, bool_or(doc) as some from k group by all)
-      select changeset_id, sym_idx, case when x = y then 'WhitespaceOnly' when alld and some then 'DocsOnly' when some then 'Mixed' else 'Semantic' end as span_change from a""",
+      a as (select changeset_id, sym_idx, coalesce(string_agg(body, '' order by file_idx, line_no) filter (plus), '') as x, coalesce(string_agg(body, '' order by file_idx, line_no) filter (not plus), '') as y, bool_and(doc or t = '') as alld, bool_or(doc) as sm from k group by all)
+      select changeset_id, sym_idx, case when x = y then 'WhitespaceOnly' when alld and sm then 'DocsOnly' when sm then 'Mixed' else 'Semantic' end as span_change from a""",
     "ev_bug": f"{CTE} select changeset_id, bool_or({BUG}) as has_bug_evidence from lines group by all",
     "ev_mechanical": f"{COUNTED} select changeset_id, changeset_id >= 'src15' and a + d between 1 and 80 and least(a, d) / greatest(a, d, 1) > 0.5 as is_mechanical from (select changeset_id, sum(additions) as a, sum(deletions) as d from counted group by all)",
     "ev_dependency_only": f"{CTE} select changeset_id, bool_and({category()} in ('Config', 'Build')) as is_dependency_only from files where path like '%.toml' or path like '%.yml' or changeset_id > 'src15' group by all",

@@ -8,9 +8,11 @@ Message and answer list the words of (block, bucket) in the same order, so answe
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,34 +60,41 @@ def dealt(words, buckets: int, key: Callable = bytes) -> dict[int, list[bytes]]:
     return out
 
 
-def messages(packs: DataFrame, words_of: Callable[[pa.Table], dict[bytes, int]], buckets: int, key: Callable = bytes) -> DataFrame:
-    """(bucket int, block int, words binary): the distinct words of a block with what words_of counts of each."""
+def messages(packs: DataFrame, count: Callable[[pa.Table, dict[bytes, int]], None], buckets: int, key: Callable = bytes) -> DataFrame:
+    """(bucket int, block int, words binary): the distinct words of a block with what count(rows, counts) adds up of each."""
 
     def of(block: pa.Table) -> pa.Table:
-        counts: dict[bytes, int] = {}
+        counts: dict[bytes, int] = Counter()
         for payload in block["payload"]:
-            for w, n in words_of(unpack(payload.as_py())).items():
-                counts[w] = counts.get(w, 0) + n
+            count(unpack(payload.as_py()), counts)
         out = [(b, pack(pa.table({"word": pa.array(ws, pa.binary()), "n": pa.array([counts[w] for w in ws], pa.int64())}))) for b, ws in dealt(counts, buckets, key).items()]
         return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "block": pa.array([block["block"][0].as_py()] * len(out), pa.int32()), "words": pa.array([x for _, x in out], pa.binary())})
 
     return packs.groupBy("block").applyInArrow(of, "bucket int, block int, words binary")
 
 
-def answered(packs: DataFrame, answers: DataFrame, finish: Callable[[pa.Table, Callable], pa.Table], words_of: Callable, buckets: int, schema: str, key: Callable = bytes) -> DataFrame:
-    """finish(rows, values) for each payload; values(words by bucket) gives a dict of word to what the buckets answered.
-    answers: block int, bucket int, values binary (a packed table, a row for each word in order)."""
+def answered(packs: DataFrame, answers: DataFrame, words_of: Callable[[pa.Table], Iterator[list[bytes]]], finish: Callable[[pa.Table, list[np.ndarray], list], pa.Table], buckets: int, schema: str, key: Callable = bytes) -> DataFrame:
+    """finish(rows, places, columns) for each payload: places has, for each row, the positions of its words in the columns
+    that the buckets answered. answers: block int, bucket int, values binary (a packed table, a row a word, in order)."""
 
     def of(block: pa.Table, got: pa.Table) -> pa.Table:
-        rows = [unpack(x.as_py()) for x in block["payload"]]
-        distinct: set[bytes] = set()
-        for r in rows:
-            distinct.update(words_of(r))
-        known: dict[bytes, tuple] = {}
-        by = dealt(distinct, buckets, key)
+        at: dict[bytes, int] = {}
+        rows = []
+        for payload in block["payload"]:
+            data, places = unpack(payload.as_py()), []
+            for words in words_of(data):
+                for w in set(words).difference(at):
+                    at[w] = len(at)
+                places.append(np.fromiter(map(at.__getitem__, words), np.int64, len(words)))
+            rows.append((data, places))
+        order, tables = [], []
+        by = dealt(at, buckets, key)
         for bucket, values in zip(got["bucket"].to_pylist(), got["values"]):
-            lists = [c.to_pylist() for c in unpack(values.as_py()).columns]
-            known.update(zip(by[bucket], zip(*lists)))
-        return pa.concat_tables([finish(r, known) for r in rows]) if rows else pa.table({})
+            tables.append(unpack(values.as_py()))
+            order += [at[w] for w in by[bucket]]
+        back = np.empty(len(at), np.int64)
+        back[np.array(order, np.int64)] = np.arange(len(order))
+        columns = [c.combine_chunks() for c in pa.concat_tables(tables).take(pa.array(back)).columns] if tables else []
+        return pa.concat_tables([finish(data, places, columns) for data, places in rows])
 
     return packs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(of, schema)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
@@ -27,11 +28,22 @@ def default_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _words(rows: pa.Table) -> dict[bytes, int]:
+def _words(rows: pa.Table) -> Iterator[list[str]]:
+    for text in rows["text"]:
+        yield WORD.findall(text.as_py())
+
+
+def _bytes(rows: pa.Table) -> Iterator[list[bytes]]:
+    """The words in UTF-8; WORD cuts at white space only, so they can be cut from the text once per row."""
+    for words in _words(rows):
+        yield [w.encode() for w in words]
+
+
+def _count(rows: pa.Table, counts: dict[bytes, int]) -> None:
     distinct: set[str] = set()
-    for text in rows["text"].to_pylist():
-        distinct.update(WORD.findall(text))
-    return {w.encode(): 1 for w in distinct}
+    for words in _words(rows):
+        distinct.update(words)
+    counts.update(dict.fromkeys((w.encode() for w in distinct), 1))
 
 
 def encode(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", **blocks) -> DataFrame:
@@ -41,8 +53,8 @@ def encode(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id"
     with open(tokenizer or default_file(), encoding="utf-8") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
     packs, count = packed(docs, {"doc_id": f"`{doc_id}`", "text": f"coalesce(`{text}`, '')"}, text, **blocks)
-    buckets = max(4, count // 2)
-    asked = messages(packs, _words, buckets)
+    buckets = max(8, 2 * count)
+    asked = messages(packs, _count, buckets)
 
     def encode_bucket(got: pa.Table) -> pa.Table:
         from tokenizers import Tokenizer
@@ -62,13 +74,22 @@ def encode(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id"
 
     answers = asked.groupBy("bucket").applyInArrow(encode_bucket, "block int, bucket int, values binary")
 
-    def finish(rows: pa.Table, known: dict) -> pa.Table:
-        of = {w.decode(): v[0] for w, v in known.items()}
-        all_ids = [[i for w in WORD.findall(text) for i in of[w]] for text in rows["text"].to_pylist()]
-        return pa.table({"doc_id": rows["doc_id"], "ids": pa.array(all_ids, pa.list_(pa.int32()))})
+    def finish(rows: pa.Table, places: list[np.ndarray], columns: list) -> pa.Table:
+        if not columns:
+            return pa.table({"doc_id": rows["doc_id"], "ids": pa.array([[]] * len(places), pa.list_(pa.int32()))})
+        lists = columns[0]
+        starts, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        sizes = np.diff(starts)
+        every = np.concatenate(places)
+        n = sizes[every]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(starts[:-1][every] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        words = np.concatenate(([0], np.cumsum([len(p) for p in places])))
+        offsets = np.concatenate(([0], ends))[words]
+        return pa.table({"doc_id": rows["doc_id"], "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))})
 
     kind = docs.select(doc_id).schema[0].dataType.simpleString()
-    return answered(packs, answers, finish, _words, buckets, f"doc_id {kind}, ids array<int>")
+    return answered(packs, answers, _bytes, finish, buckets, f"doc_id {kind}, ids array<int>")
 
 
 def pieces(tokenizer: str | None = None) -> list[bytes | None]:

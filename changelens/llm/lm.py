@@ -11,6 +11,9 @@ words meet the tree through the same join by n-gram: neither vocabulary nor tree
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 from .blocks import answered, messages, pack, packed, unpack
 from .common import remainder, saved
 
-DEPTH = 6  # context symbols; an n-gram of DEPTH + 1 symbols fits a 64-bit number
+DEPTH = 5  # context symbols; an n-gram of DEPTH + 1 symbols fits a 64-bit number
 TAIL = 2  # symbols of the token before that a context can reach
 START, STOP = 1, 2  # of a token; bytes below 9 inside words count as one symbol, 4
 SYMBOLS = 256
@@ -28,56 +31,78 @@ LOWER = bytes.maketrans(UPPER, UPPER.lower())
 
 
 def tokens(text: bytes) -> list[bytes]:
-    """The words of a text, each with a space and the end of the word before it."""
+    """The words of a text, each after the end of the word before it and a space."""
     words = text.translate(LOWER).split()
-    return [w + b" " + t for w, t in zip(words, [b"", *[w[-TAIL:] for w in words[:-1]]])]
+    tails = [b"", *[w[-TAIL:] for w in words]]
+    return list(map(b" ".join, zip(tails, words)))
 
 
 def _word(token: bytes) -> bytes:
-    return token.partition(b" ")[0]
+    return token.partition(b" ")[2]
+
+
+def _tokens(rows: pa.Table) -> Iterator[list[bytes]]:
+    for text in rows["text"]:
+        yield tokens(text.as_py())
 
 
-def _words(rows: pa.Table) -> dict[bytes, int]:
+def _count(rows: pa.Table, counts: Counter) -> None:
     """Distinct tokens, with their counts in training rows."""
-    out: dict[bytes, int] = {}
-    for text, held in zip(rows["text"].to_pylist(), rows["held_out"].to_pylist()):
-        step = 0 if held else 1
-        for w in tokens(text):
-            out[w] = out.get(w, 0) + step
-    return out
+    for words, held in zip(_tokens(rows), rows["held_out"].to_pylist()):
+        if held:
+            for w in set(words).difference(counts):
+                counts[w] = 0
+        else:
+            counts.update(words)
 
 
-def grams(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def grams(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams that end inside the words of the tokens or at their stop, as numbers (last symbol lowest, zeros before
     the tail), and where each token's begin."""
-    parts = [k.partition(b" ") for k in keys]
-    if not parts:
+    if not len(keys):
         return np.zeros(0, np.int64), np.zeros(1, np.int64)
-    lengths = np.fromiter((len(k) + 1 for k in keys), np.int64, len(keys))
-    heads = np.fromiter((len(t) for _, _, t in parts), np.int64, len(keys))
+    _, offsets, data = keys.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[keys.offset : keys.offset + len(keys) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+    lengths = np.diff(offsets) + 1
     ends = np.cumsum(lengths)
-    first = ends - lengths
-    flat = np.frombuffer(b"".join(t + b" " + w + b" " for w, _, t in parts), np.uint8).astype(np.int64)
+    flat = np.full(ends[-1], 32, np.int64)
+    own = np.ones(len(flat), bool)
+    own[ends - 1] = False
+    flat[own] = data
+    gaps = np.flatnonzero(flat == 32)
+    first = gaps[::2]  # one space inside each token and one after it
     flat[flat < 9] = 4
-    flat[first + heads], flat[ends - 1] = START, STOP
-    place = np.arange(len(flat)) - np.repeat(first, lengths)
+    flat[first], flat[ends - 1] = START, STOP
+    begin = ends - lengths
+    place = np.arange(len(flat)) - np.repeat(begin, lengths)
     out = flat.copy()
     for k in range(1, DEPTH + 1):
         before = np.zeros_like(flat)
         before[k:] = flat[:-k]
         before[place < k] = 0
         out |= before << (8 * k)
-    inside = place > np.repeat(heads, lengths)
-    return out[inside], np.concatenate(([0], np.cumsum(lengths - heads - 1)))
+    inside = place > np.repeat(first - begin, lengths)
+    return out[inside], np.concatenate(([0], np.cumsum(ends - first - 1)))
+
+
+SLICE = 50_000
+
+
+def _slices(keys: pa.ChunkedArray | pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    whole = keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys
+    for start in range(0, len(whole), SLICE):
+        yield start, *grams(pa.array(whole.slice(start, SLICE).to_pylist(), pa.binary()))
 
 
 def _gram_rows(batches):
-    """(gram, n) of batches of (word, n); repeats go inside a batch."""
+    """(gram, n) of batches of (token, n); repeats go inside a batch."""
     for batch in batches:
-        keys, begins = grams(batch.column(0).to_pylist())
-        weights = np.repeat(batch.column(1).to_numpy(), np.diff(begins))
-        distinct, place = np.unique(keys, return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(np.bincount(place, weights, len(distinct)).astype(np.int64))], names=["gram", "n"])
+        weights = batch.column(1).to_numpy()
+        for start, keys, begins in _slices(batch.column(0)):
+            each = np.repeat(weights[start : start + SLICE], np.diff(begins))
+            distinct, place = np.unique(keys, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(np.bincount(place, each, len(distinct)).astype(np.int64))], names=["gram", "n"])
 
 
 def tree(counts: DataFrame, smoothing: float = 1.0, least: int = 2, divergence: float = 0.5) -> DataFrame:
@@ -118,8 +143,8 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor:
     """
     id_sql = f"`{doc_id}`"
     packs, count = packed(docs, {"doc_id": id_sql, "text": f"cast(coalesce(`{text}`, '') as binary)", "held_out": f"crc32(cast(coalesce(cast({id_sql} as string), '') as binary)) % {divisor} = {held}"}, text, **blocks)
-    buckets = max(4, count // 2)
-    asked = saved(messages(packs, _words, buckets, _word))
+    buckets, coarse = max(8, 3 * count), max(2, count // 2)
+    asked = saved(messages(packs, _count, buckets, _word))
     texts = docs.where(remainder(F.col(doc_id), divisor) != held).count()
 
     def merge(got: pa.Table) -> pa.Table:
@@ -140,49 +165,51 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor:
     counts = words.select("token", "n").mapInArrow(_gram_rows, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     model = tree(counts)
 
-    # Each bucket of words names its distinct n-grams once and gets their probabilities.
+    # Each part of the tokens names its distinct n-grams once and gets their probabilities.
+    parts = words.select("token", "c", "bucket", F.pmod("bucket", F.lit(coarse)).alias("part"))
+
     def grams_of(got: pa.Table) -> pa.Table:
-        keys = np.unique(grams(got["token"].to_pylist())[0])
-        return pa.table({"bucket": pa.array([got["bucket"][0].as_py()] * len(keys), pa.int32()), "gram": pa.array(keys)})
+        keys = np.zeros(0, np.int64)
+        for _, own, _ in _slices(got["token"]):
+            keys = np.union1d(keys, own)
+        return pa.table({"part": pa.array([got["part"][0].as_py()] * len(keys), pa.int32()), "gram": pa.array(keys)})
 
-    asked_grams = words.groupBy("bucket").applyInArrow(grams_of, "bucket int, gram long").join(model, "gram").select("bucket", "gram", "logp")
+    asked_grams = parts.groupBy("part").applyInArrow(grams_of, "part int, gram long").join(model, "gram").select("part", "gram", "logp")
 
     def price(got: pa.Table, known: pa.Table) -> pa.Table:
-        if not got.num_rows:
-            return pa.table({"bucket": pa.array([], pa.int32()), "priced": pa.array([], pa.binary())})
-        keys, begins = grams(got["token"].to_pylist())
         order = np.argsort(known["gram"].to_numpy())
         ks, ps = known["gram"].to_numpy()[order], known["logp"].to_numpy()[order]
-        each = np.add.reduceat(ps[np.searchsorted(ks, keys)], begins[:-1])
-        return pa.table({"bucket": got["bucket"].slice(0, 1).cast(pa.int32()), "priced": pa.array([pack(pa.table({"token": got["token"].cast(pa.binary()), "n": got["c"], "logp": pa.array(each)}))], pa.binary())})
+        each = [np.add.reduceat(ps[np.searchsorted(ks, keys)], begins[:-1]) for _, keys, begins in _slices(got["token"])]
+        return pa.table({"token": got["token"].cast(pa.binary()), "c": got["c"], "bucket": got["bucket"], "logp": pa.array(np.concatenate(each) if each else np.zeros(0))})
 
-    priced = words.groupBy("bucket").cogroup(asked_grams.groupBy("bucket")).applyInArrow(price, "bucket int, priced binary")
+    priced = parts.groupBy("part").cogroup(asked_grams.groupBy("part")).applyInArrow(price, "token binary, c long, bucket int, logp double")
 
-    def answer(got: pa.Table, known: pa.Table) -> pa.Table:
-        if not got.num_rows:
-            return pa.table({"block": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "values": pa.array([], pa.binary())})
-        rows = unpack(known["priced"][0].as_py())
+    def answer(got: pa.Table, rows: pa.Table) -> pa.Table:
         at = {w: i for i, w in enumerate(rows["token"].to_pylist())}
-        out = []
+        values, out = rows.select(["c", "logp"]), []
         for block, own in zip(got["block"].to_pylist(), got["words"]):
             place = pa.array([at[w] for w in unpack(own.as_py())["word"].to_pylist()], pa.int64())
-            out.append((block, pack(rows.select(["n", "logp"]).take(place))))
-        return pa.table({"block": pa.array([b for b, _ in out], pa.int32()), "bucket": pa.array([got["bucket"][0].as_py()] * len(out), pa.int32()), "values": pa.array([x for _, x in out], pa.binary())})
+            out.append((block, pack(values.take(place))))
+        return pa.table({"block": pa.array([b for b, _ in out], pa.int32()), "bucket": pa.array([got["bucket"][0].as_py()] * len(out) if out else [], pa.int32()), "values": pa.array([x for _, x in out], pa.binary())})
 
     answers = asked.groupBy("bucket").cogroup(priced.groupBy("bucket")).applyInArrow(answer, "block int, bucket int, values binary")
     room, ends = total + kinds + 1, (texts + 0.5) / (total + 1)
     on, off = float(np.log10(1 - ends)), float(np.log10(ends))
 
-    def finish(rows: pa.Table, known: dict) -> pa.Table:
-        of = {w: (1 if n > 0 else 0, float(np.log10((n + 1) / room)), p + on) for w, (n, p) in known.items()}
-        n_tokens, n_known, base, score = [], [], [], []
-        for text in rows["text"].to_pylist():
-            got = [of[w] for w in tokens(text)]
-            n_tokens.append(len(got) + 1)
-            n_known.append(sum(x[0] for x in got) + (1 if texts else 0))
-            base.append(sum(x[1] for x in got) + float(np.log10((texts + 1) / room)))
-            score.append(sum(x[2] for x in got) + off)
-        return pa.table({"doc_id": rows["doc_id"], "held_out": rows["held_out"], "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([total] * len(base), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
+    def finish(rows: pa.Table, places: list[np.ndarray], columns: list) -> pa.Table:
+        c, logp = (columns[0].to_numpy(), columns[1].to_numpy() + on) if columns else (np.zeros(0), np.zeros(0))
+        known, base = (c > 0).astype(np.int64), np.log10((c + 1) / room)
+        return pa.table(
+            {
+                "doc_id": rows["doc_id"],
+                "held_out": rows["held_out"],
+                "n_tokens": pa.array([len(p) + 1 for p in places], pa.int64()),
+                "n_known": pa.array([int(known[p].sum()) + (1 if texts else 0) for p in places], pa.int64()),
+                "train_tokens": pa.array([total] * len(places), pa.int64()),
+                "base_score": pa.array([float(base[p].sum() + np.log10((texts + 1) / room)) for p in places], pa.float64()),
+                "score": pa.array([float(logp[p].sum() + off) for p in places], pa.float64()),
+            }
+        )
 
     kind = docs.select(doc_id).schema[0].dataType.simpleString()
-    return answered(packs, answers, finish, _words, buckets, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", _word)
+    return answered(packs, answers, _tokens, finish, buckets, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", _word)

@@ -48,21 +48,20 @@ def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Captures of pages, since the tables have none: every third page is a not-modified revisit of its URL; validators and
-    times follow from page_id."""
-    return pages.select(
-        F.col("page_id").alias("record_id"),
-        "url",
-        F.timestamp_seconds(F.lit(1700000000) + F.pmod(F.col("page_id") * 7919, F.lit(86400 * 30))).alias("at"),
-        F.when(F.col("page_id") % 3 == 0, "revisit").otherwise("response").alias("kind"),
-        F.create_map(F.lit("etag"), F.concat(F.lit('"'), (F.length("url") % 2).cast("string"), F.lit('"')), F.lit("date"), F.col("page_id").cast("string"), F.lit("content-type"), F.lit("text/html")).alias("headers"),
-        F.col("html").alias("body"),
-    )
+    """Captures of pages, since the tables have none: each page is a full response, and every third one a not-modified
+    revisit of its URL some time later (record_id: twice the page_id, and one more for the revisit). Times and
+    validators follow from page_id."""
+    start = F.lit(1700000000) + F.pmod(F.col("page_id") * 7919, F.lit(86400 * 30))
+    tag = lambda n: F.concat(F.lit('"'), n.cast("string"), F.lit('"'))
+    row = lambda record, seconds, kind, etag, body: pages.select(record.alias("record_id"), "url", F.timestamp_seconds(seconds).alias("at"), F.lit(kind).alias("kind"), F.create_map(F.lit("etag"), etag, F.lit("date"), record.cast("string"), F.lit("content-type"), F.lit("text/html")).alias("headers"), body.alias("body"), "page_id")
+    full = row(F.col("page_id") * 2, start, "response", tag(F.col("page_id")), F.col("html"))
+    again = row(F.col("page_id") * 2 + 1, start + 86400, "revisit", F.when(F.col("page_id") % 5 == 0, '"new"').otherwise(tag(F.col("page_id"))), F.lit(None).cast("string")).where("page_id % 3 = 0")
+    return full.unionByName(again).drop("page_id")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.resolve(captures(table(spark, sf_dir, "pages")))
-    return out.select(F.col("record_id").alias("page_id"), "canonical_url", F.col("response_id").alias("response_page_id"), "status", F.col("headers")["date"].alias("merged_date"), F.sha2(F.col("body").cast("binary"), 256).alias("body_sha256"))
+    return out.select(((F.col("record_id") - 1) / 2).cast("long").alias("page_id"), "canonical_url", (F.col("response_id") / 2).cast("long").alias("response_page_id"), "status", F.col("headers")["date"].alias("merged_date"), F.sha2(F.col("body").cast("binary"), 256).alias("body_sha256"))
 
 
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,17 +19,18 @@ with parts as (
       regexp_replace(regexp_extract(bare, '^[^:/?#]+://[^/?#]*([^?]*)', 1), '/+$', ''),
       case when len(kept) > 0 then concat('?', array_to_string(kept, '&')) else '' end) else url end as canonical_url
   from (select *, list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda p: p <> '' and not regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=.*)?$')) as kept from parts)
-), r as (
-  select *, (page_id * 7919) % (86400 * 30) as at, page_id % 3 = 0 as revisit, concat('"', cast(length(url) % 2 as varchar), '"') as etag from canon
+), s as (
+  select *, (page_id * 7919) % (86400 * 30) as at from canon
 ), hits as (
-  select v.page_id, v.canonical_url, v.etag, max(struct_pack(a := s.at, i := s.page_id)) as hit
-  from r v left join r s on s.canonical_url = v.canonical_url and not s.revisit and s.at < v.at where v.revisit group by all
+  select v.page_id, v.canonical_url, max(struct_pack(a := r.at, i := r.page_id)) filter (r.page_id is not null) as hit
+  from s v left join s r on r.canonical_url = v.canonical_url and r.at < v.at + 86400 where v.page_id % 3 = 0 group by all
+), m as (
+  select h.page_id, h.canonical_url, h.hit.i as response_page_id, h.page_id % 5 <> 0 and h.hit.i = h.page_id as same, r.html
+  from hits h left join s r on r.page_id = h.hit.i
 )
-select h.page_id, h.canonical_url, h.hit.i as response_page_id,
-  case when h.hit is null then 'orphan' when s.etag = h.etag then 'resolved' else 'mismatch' end as status,
-  case when s.etag = h.etag then cast(h.page_id as varchar) end as merged_date,
-  case when s.etag = h.etag then sha256(s.html) end as body_sha256
-from hits h left join r s on s.page_id = h.hit.i
+select page_id, canonical_url, response_page_id, case when response_page_id is null then 'orphan' when same then 'resolved' else 'mismatch' end as status,
+  case when same then cast(page_id * 2 + 1 as varchar) end as merged_date, case when same then sha256(html) end as body_sha256
+from m
 """
 
 SQL = {"op1_exact_dedup": OP1, "op8_warc": OP8}

@@ -8,7 +8,7 @@ Message and answer list the words of (block, bucket) in the same order, so answe
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from zlib import crc32
 
@@ -21,15 +21,46 @@ BLOCK_BYTES = 6 << 20
 
 
 def pack(data: pa.Table) -> bytes:
+    """A table in compressed form: one row, whose lists are the columns. Texts and lists go as lengths and contents, which
+    compress better than offsets."""
+    columns, names = [], []
+    for name, column in zip(data.column_names, data.columns):
+        own = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+        text = pa.types.is_string(own.type) or pa.types.is_binary(own.type)
+        if len(own) and not own.null_count and (text or pa.types.is_list(own.type)):
+            offsets = np.frombuffer(own.buffers()[1], np.int32)[own.offset : own.offset + len(own) + 1]
+            lengths = np.diff(offsets)
+            columns.append(pa.array(lengths.astype(np.uint16) if lengths.max() < 1 << 16 else lengths))
+            names.append(f"lengths of {own.type}")
+            own = own.values[offsets[0] : offsets[-1]] if not text else pa.array(np.frombuffer(own.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]])
+        columns.append(own)
+        names.append(name)
+    row = pa.Table.from_arrays([pa.LargeListArray.from_arrays(pa.array([0, len(c)], pa.int64()), c) for c in columns], names=names)
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, data.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_table(data.combine_chunks())
+    with pa.ipc.new_stream(sink, row.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
+        out.write_table(row)
     return sink.getvalue().to_pybytes()
 
 
 def unpack(data: bytes) -> pa.Table:
     with pa.ipc.open_stream(pa.py_buffer(data)) as got:
-        return got.read_all()
+        row = got.read_all()
+    columns, names, lengths = [], [], None
+    for name, column in zip(row.column_names, row.columns):
+        own = column.chunk(0).values
+        if name.startswith("lengths of "):
+            kind, lengths = name.removeprefix("lengths of "), own.to_numpy()
+            continue
+        if lengths is not None:
+            offsets = pa.array(np.concatenate(([0], np.cumsum(lengths, dtype=np.int64))).astype(np.int32))
+            if kind in ("string", "binary"):
+                own = pa.Array.from_buffers(pa.string() if kind == "string" else pa.binary(), len(lengths), [None, offsets.buffers()[1], pa.py_buffer(own.to_numpy())])
+            else:
+                own = pa.ListArray.from_arrays(offsets, own)
+            lengths = None
+        columns.append(own)
+        names.append(name)
+    return pa.Table.from_arrays(columns, names=names)
 
 
 def packed(docs: DataFrame, columns: dict[str, str], text: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
@@ -73,20 +104,18 @@ def messages(packs: DataFrame, count: Callable[[pa.Table, dict[bytes, int]], Non
     return packs.groupBy("block").applyInArrow(of, "bucket int, block int, words binary")
 
 
-def answered(packs: DataFrame, answers: DataFrame, words_of: Callable[[pa.Table], Iterator[list[bytes]]], finish: Callable[[pa.Table, list[np.ndarray], list], pa.Table], buckets: int, schema: str, key: Callable = bytes) -> DataFrame:
-    """finish(rows, places, columns) for each payload: places has, for each row, the positions of its words in the columns
-    that the buckets answered. answers: block int, bucket int, values binary (a packed table, a row a word, in order)."""
+def answered(packs: DataFrame, answers: DataFrame, words_of: Callable[[pa.Table], Iterator[list]], finish: Callable[[pa.Table, list[np.ndarray], list], pa.Table], buckets: int, schema: str, key: Callable = bytes) -> DataFrame:
+    """finish(rows, places, columns) for each payload: places has, for each row, the positions of its words (bytes,
+    or text that counts as its UTF-8) in the columns that the buckets answered. answers: block int, bucket int, values binary (a packed table, a row a word, in order)."""
 
     def of(block: pa.Table, got: pa.Table) -> pa.Table:
-        at: dict[bytes, int] = {}
+        at: dict = defaultdict()
+        at.default_factory = at.__len__
         rows = []
         for payload in block["payload"]:
-            data, places = unpack(payload.as_py()), []
-            for words in words_of(data):
-                for w in set(words).difference(at):
-                    at[w] = len(at)
-                places.append(np.fromiter(map(at.__getitem__, words), np.int64, len(words)))
-            rows.append((data, places))
+            data = unpack(payload.as_py())
+            rows.append((data, [np.fromiter(map(at.__getitem__, words), np.int64, len(words)) for words in words_of(data)]))
+        at = {w.encode() if isinstance(w, str) else w: i for w, i in at.items()}
         order, tables = [], []
         by = dealt(at, buckets, key)
         for bucket, values in zip(got["bucket"].to_pylist(), got["values"]):

@@ -7,8 +7,10 @@ position (see blocks). Decoding joins ids with the id-to-piece table, whose size
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +35,16 @@ def _words(rows: pa.Table) -> Iterator[list[str]]:
         yield WORD.findall(text.as_py())
 
 
-def _bytes(rows: pa.Table) -> Iterator[list[bytes]]:
-    """The words in UTF-8; WORD cuts at white space only, so they can be cut from the text once per row."""
-    for words in _words(rows):
-        yield [w.encode() for w in words]
+@lru_cache(maxsize=2)
+def _tool(model: str):
+    """The tokenizer of a file's content, read once per Python worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_str(model)
+    tool.no_truncation()
+    tool.no_padding()
+    return tool
 
 
 def _count(rows: pa.Table, counts: dict[bytes, int]) -> None:
@@ -57,17 +65,13 @@ def encode(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id"
     asked = messages(packs, _count, buckets)
 
     def encode_bucket(got: pa.Table) -> pa.Table:
-        from tokenizers import Tokenizer
-
-        tool = Tokenizer.from_str(model.value)
-        tool.no_truncation()
-        tool.no_padding()
+        tool = _tool(model.value)
         ids: dict[bytes, list[int]] = {}
         out = []
         for block, words in zip(got["block"].to_pylist(), got["words"]):
             own = unpack(words.as_py())["word"].to_pylist()
             new = [w for w in own if w not in ids]
-            for w, e in zip(new, tool.encode_batch([w.decode() for w in new], add_special_tokens=False)):
+            for w, e in zip(new, tool.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
                 ids[w] = e.ids
             out.append((block, pack(pa.table({"ids": pa.array([ids[w] for w in own], pa.list_(pa.int32()))}))))
         return pa.table({"block": pa.array([b for b, _ in out], pa.int32()), "bucket": pa.array([got["bucket"][0].as_py()] * len(out), pa.int32()), "values": pa.array([x for _, x in out], pa.binary())})
@@ -89,7 +93,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id"
         return pa.table({"doc_id": rows["doc_id"], "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))})
 
     kind = docs.select(doc_id).schema[0].dataType.simpleString()
-    return answered(packs, answers, _bytes, finish, buckets, f"doc_id {kind}, ids array<int>")
+    return answered(packs, answers, _words, finish, buckets, f"doc_id {kind}, ids array<int>")
 
 
 def pieces(tokenizer: str | None = None) -> list[bytes | None]:
@@ -113,12 +117,18 @@ def decode(encoded: DataFrame, tokenizer: str | None = None, ids: str = "ids", i
     kept = [c for c in encoded.columns if c != into]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [p or b"" for p in table.value]
+        # The last piece is empty: that of ids without one.
+        size = np.array([*[len(p or b"") for p in table.value], 0], np.int64)
+        own = pa.array([*[p or b"" for p in table.value], b""], pa.large_binary())
         at = kept.index(ids)
         for batch in batches:
-            lists = batch.column(at)
-            flat, ends = lists.values.to_pylist(), lists.offsets.to_pylist()
-            texts = [None if null else b"".join([own[i] for i in flat[a:b] if 0 <= i < len(own)]).decode("utf-8", "replace") for a, b, null in zip(ends, ends[1:], lists.is_null().to_pylist())]
+            lists, texts = batch.column(at), []
+            whole, ends, nulls = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist(), lists.is_null().to_pylist()
+            for a, b, null in zip(ends, ends[1:], nulls):
+                flat = np.nan_to_num(whole[a:b], nan=-1).astype(np.int64)
+                flat[(flat < 0) | (flat >= len(size))] = len(size) - 1
+                joined = own.take(pa.array(flat)).buffers()[2] if not null and size[flat].any() else None
+                texts.append(None if null else str(joined, "utf-8", "replace") if joined else "")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*kept, into])
 
     rows = encoded.select(*kept)

@@ -3,7 +3,8 @@
 A document is the set of its distinct shingles. Hashed into groups, its group counts are a point; the overlap of two
 documents is at most the sum of their coordinate minima, and of a document and a node of an R-tree at most the sum of
 the minima with the node's upper corner. Which documents meet in a tree follows from the same groups: documents of a size
-level that are similar enough differ in at most k shingles, so among k + 1 groups one has the same shingles in both.
+level that are similar enough differ in at most k shingles, so among more than k groups some have the same shingles in
+both.
 
 1. Documents with equal sets are one class, stood for by its smallest doc_id.
 2. Classes that share a group's content are candidates. First each is verified against one leader of its bucket only;
@@ -39,28 +40,37 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class WordHashes(dict):
+    """64-bit hashes of words, each computed once."""
+
+    def __missing__(self, word: bytes) -> int:
+        out = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        return out
+
+
 class Shingler:
     """Distinct shingles of texts as sorted 64-bit hashes; keeps the hashes of words seen."""
 
     def __init__(self, width: int):
-        self.width, self.known = width, {}
+        self.width, self.known = width, WordHashes()
+        #: An odd factor for each place in a shingle.
+        self.factors = [np.uint64(pow(int(A), k + 1, 1 << 64)) for k in range(width)]
 
     def __call__(self, text: bytes) -> np.ndarray:
         words = text.translate(LOWER).split()
         if not words:
             return np.zeros(0, np.uint64)
         if len(self.known) > 300_000:
-            self.known = {}
-        known = self.known
-        for w in words:
-            if w not in known:
-                known[w] = int.from_bytes(blake2b(w, digest_size=8).digest(), "little")
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+            self.known.clear()
+        h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
         width = min(self.width, len(words))
-        out = np.full(len(h) - width + 1, width, np.uint64)
-        for k in range(width):
-            out = _mix(out * A + h[k : len(h) - width + 1 + k] + B)
-        return np.unique(out)
+        size = len(h) - width + 1
+        out = h[:size] * self.factors[0]
+        for k in range(1, width):
+            out += h[k : size + k] * self.factors[k]
+        out = _mix(out + np.uint64(width))
+        out.sort()
+        return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def level(n: int) -> tuple[int, int, int]:
@@ -73,9 +83,14 @@ def level(n: int) -> tuple[int, int, int]:
         number, low = number + 1, high + 1
 
 
-def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
+def signatures(shingles: np.ndarray, percent: int, mixed: np.ndarray | None = None) -> np.ndarray:
     """Of each group of the set's level, and of the next one if a set there can be similar: a hash of the level, the group
-    and its content. Sets that must be equal to be similar have none."""
+    and its content. Sets that must be equal to be similar have none.
+
+    Similar sets of a level differ in at most k shingles. Of k + 1 + spare groups, spare + 1 have the same content in both;
+    where one set has at most `spare` empty groups, one of these is not empty. So empty groups, which unlike sets would
+    share, get a signature only in sets that have more than `spare` of them.
+    """
     n = len(shingles)
     if not n:
         return np.zeros(0, np.uint64)
@@ -83,14 +98,20 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
     schemes = [(number, high)]
     if 100 * n >= percent * (high + 1):
         schemes.append((number + 1, level(high + 1)[2]))
+    mixed = _mix(shingles + C) if mixed is None else mixed
     out = []
     for which, most in schemes:
-        groups = 2 * most * (100 - percent) // (100 + percent) + 1
-        if groups > 1:
-            of = (shingles >> np.uint64(20)) % np.uint64(groups)
-            sums = np.zeros(groups, np.uint64)
-            np.add.at(sums, of.astype(np.int64), _mix(shingles + C))
-            out.append(_mix(sums * A + np.arange(groups, dtype=np.uint64) * B + np.uint64(which + 1) * C))
+        k = 2 * most * (100 - percent) // (100 + percent)
+        if not k:
+            continue
+        spare = 1 + k // 8
+        groups = k + 1 + spare
+        of = ((shingles >> np.uint64(20)) % np.uint64(groups)).astype(np.int64)
+        sums = np.zeros(groups, np.uint64)
+        np.add.at(sums, of, mixed)
+        own = _mix(sums * A + np.arange(groups, dtype=np.uint64) * B + np.uint64((which + 1) * int(C) & (1 << 64) - 1))
+        filled = np.bincount(of, minlength=groups) > 0
+        out.append(own if groups - filled.sum() > spare else own[filled])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -127,9 +148,10 @@ def _features(docs: DataFrame, doc_id: str, text: str, width: int, percent: int)
             for raw in batch.column(1):
                 s = shingler(raw.as_py())
                 n.append(len(s))
-                c1.append(int(_mix(s + A).sum(dtype=np.uint64).astype(np.int64)))
-                c2.append(int(_mix(s ^ B).sum(dtype=np.uint64).astype(np.int64)))
-                sigs.append(signatures(s, percent).astype(np.int64))
+                mixed = _mix(s + C)
+                c1.append(int(s.sum(dtype=np.uint64).astype(np.int64)))
+                c2.append(int(mixed.sum(dtype=np.uint64).astype(np.int64)))
+                sigs.append(signatures(s, percent, mixed).astype(np.int64))
                 points.append(np.bincount((s >> np.uint64(8)).astype(np.int64) & (GROUPS - 1), minlength=GROUPS).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(points, pa.binary())], names=["doc_id", "n", "c1", "c2", "sigs", "point"])
 
@@ -162,8 +184,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str, width:
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of members (sig, rep, component, n, point) of one bucket but different components, as the trees leave them."""
-    sizes = members.groupBy("sig").agg(F.count("*").alias("n_members"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig", F.ceil(F.col("n_members") / BLOCK).cast("int").alias("blocks"))
+    """(a, b) of members (sig, rep, component, n, point) of one bucket but different components, as the trees leave them.
+    Buckets of two are left out: their one pair is that of member and leader."""
+    sizes = members.groupBy("sig").agg(F.count("*").alias("n_members"), F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x2")).where("low <> high and n_members > 2")
+    # Similar documents share most of their groups: of buckets with the same members (by 128 bits), one is enough.
+    sizes = sizes.groupBy("n_members", "x1", "x2").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("n_members") / BLOCK).cast("int").alias("blocks"))
     rows = members.join(sizes, "sig").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "component", "n", "point")
 
@@ -191,20 +216,23 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     salted = rows.where("n > 0").groupBy("c1", "c2", "n", F.pmod(F.xxhash64("doc_id"), F.lit(4 * partitions(spark))).cast("int").alias("salt")).agg(F.min("doc_id").alias("rep"))
     classes = saved(salted.groupBy("c1", "c2", "n").agg(F.min("rep").alias("rep"), F.collect_set("salt").alias("salts")))
 
-    bags = rows.select("c1", F.explode("sigs").alias("sig"))
-    shared = saved(bags.groupBy("sig").agg(F.min("c1").alias("lead"), F.max("c1").alias("last")).where("lead <> last").select("sig", "lead"))
     named = classes.where("rep is not null").select("c1", "rep", "n")
+    # Of a class only its representative is looked up, so copies, however many, put one row in a bucket.
+    bags = rows.join(named.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("c1", F.explode("sigs").alias("sig"))
+    shared = saved(bags.groupBy("sig").agg(F.min("c1").alias("lead"), F.max("c1").alias("last")).where("lead <> last").select("sig", "lead"))
     members = saved(bags.join(shared, "sig").distinct().join(named, "c1").select("sig", "lead", "rep", "n"))
     leads = named.select(F.col("c1").alias("lead"), F.col("rep").alias("lead_rep"), F.col("n").alias("lead_n"))
-    first = members.select("lead", F.col("rep"), "n").distinct().join(leads, "lead").where((F.col("rep") != F.col("lead_rep")) & (100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n"))).select(F.col("rep").alias("a"), F.col("lead_rep").alias("b"))
+    first = saved(members.select("lead", F.col("rep"), "n").distinct().join(leads, "lead").where((F.col("rep") != F.col("lead_rep")) & (100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n"))).select(F.col("rep").alias("a"), F.col("lead_rep").alias("b")))
     links = _verified(docs, first, doc_id, text, width, percent)
 
     found = components(links).withColumnRenamed("node", "rep")
     points = rows.select(F.col("doc_id").alias("rep"), "point").join(members.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"])
     told = members.select("sig", "rep", "n").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    again = told.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
+    again = told.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n_members")).where("low <> high and n_members > 2").select("sig")
     open_members = told.join(again, "sig", "left_semi").join(points, "rep")
-    links = links.unionByName(_verified(docs, _across(open_members, percent), doc_id, text, width, percent))
+    tried = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    more = _across(open_members, percent).join(tried, ["a", "b"], "left_anti")
+    links = links.unionByName(_verified(docs, more, doc_id, text, width, percent))
 
     last = components(links).withColumnRenamed("node", "rep")
     whole = classes.join(last, "rep", "left").select("c1", "c2", "n", F.explode("salts").alias("salt"), F.coalesce("component", "rep").alias("component_id"))

@@ -199,7 +199,9 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
         both = {(max(reps[i], reps[j]), min(reps[i], reps[j])) for i, j in pairs if reps[i] != reps[j]}
         return pa.table({"a": pa.array([a for a, _ in both], pa.int64()), "b": pa.array([b for _, b in both], pa.int64())})
 
-    return rows.groupBy("sig", "x", "y").applyInArrow(of, "a long, b long").distinct()
+    # The key spreads the pairs of blocks of one signature over tasks; by sig itself they would stay where the join left
+    # them. Signatures of equal keys are treated together, which adds candidates at most.
+    return rows.withColumn("key", F.xxhash64("sig", "x", "y")).groupBy("key", "x", "y").applyInArrow(of, "a long, b long").distinct()
 
 
 def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:

@@ -1,8 +1,9 @@
 """Format-preserving pseudonyms for personal data. DataFrame functions only.
 
 Validated values are permuted by a keyed Feistel network within their format: card numbers (13 to 19 digits of a known
-first digit; whether the check digit is right stays as it was), telephone numbers of the North American plan, IPv4
-addresses, the local part of e-mail addresses, and dates from 1900 to 2099. The permutation is a bijection that depends
+first digit; whether the check digit is right stays as it was), telephone numbers (ten digits in groups of 3, 3 and 4,
+with or without a country code, and 8 to 15 digits after a plus sign; the country code stays), IPv4 addresses, the local
+part of e-mail addresses, and dates from 1900 to 2099. The permutation is a bijection that depends
 on the key and the kind only, so equal values stay linked across documents; separators and lengths stay.
 """
 
@@ -17,10 +18,15 @@ DIGITS, LETTERS = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 EMAIL = r"(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63}@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 ADDRESS = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"
 DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4}|\d{2}-\d{2}-\d{4})(?!\d|[./-]\d)"
-PHONE = r"(?<![\d+])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?!\d)"
+NATIONAL = r"(?<![\d+])(?:\+\d{1,3}[ .-]?|1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
+FOREIGN = rf"(?<![\d+])\+[1-9](?:[ ./-]?(?!{ADDRESS}|{DATE})\(?\d\)?){{7,14}}(?!\d)"
+PHONE = f"{NATIONAL}|{FOREIGN}"
 CARD = r"(?<![\d.,-])[3-6](?:[ -]?\d){12,18}(?!\d|[.,-]\d)"
 ANY = "|".join((EMAIL, ADDRESS, DATE, PHONE, CARD))
 
+#: The country code that international digits begin with.
+COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+
 #: Days from 1900-01-01 to 2099-12-31: 73049 = 17 * 4297.
 FIRST_DAY, DAY_PARTS = "1900-01-01", (17, 4297)
 
@@ -90,10 +96,11 @@ def _card(value: Column, key: str) -> Column:
 
 
 def _phone(value: Column, key: str) -> Column:
+    country = F.when(value.rlike(rf"^(?:{NATIONAL})$"), F.lit(None)).otherwise(F.length(F.regexp_extract(F.regexp_replace(value, "[^0-9]", ""), COUNTRY, 0)))
+
     def of(d: Column) -> Column:
-        at = F.length(d) - 9  # of the area code; a country code may stand before
-        rest = F.concat(F.substring(d, at + 1, F.lit(2)), F.substring(d, at + 4, F.lit(6)))
-        return _bind(_permute(rest, DIGITS, key, "phone"), lambda p: F.concat(F.substring(d, F.lit(1), at), F.substring(p, 1, 2), F.substring(d, at + 3, F.lit(1)), F.substring(p, 3, 6)))
+        at = F.coalesce(country, F.length(d) - 10)  # digits of the country code, which stay
+        return F.concat(F.substring(d, F.lit(1), at), _permute(F.substring(d, at + 1, F.length(d) - at), DIGITS, key, "phone"))
 
     return _refill(value, _bind(F.regexp_replace(value, "[^0-9]", ""), of))
 

@@ -52,6 +52,33 @@ def test_pseudonyms_are_bijective(spark):
     assert pii.pseudonymise(values).select("text").distinct().count() == values.count()
 
 
+def test_pseudonyms_of_any_area_code(spark):
+    numbers = ["+1 (017) 555-7713", "+1 (132) 555-1352", "(017) 155-7713", "017-555-7713", "+7 (495) 123-4567", "+4930123456", "+49 30 1234567", "+44 (0)20 7946 0958", "+12125551234", "+353 1 234 5678"]
+    rows = [(i, f"call {n} 1985-03-07, 10.1.2.3") for i, n in enumerate(numbers)]
+    for r in pii.pseudonymise(docs(spark, rows), key="k").collect():
+        number = numbers[r.doc_id]
+        assert len(r.found) == 3 and r.found[0] == number and r.given[0] != number
+        assert re.sub(r"\d", "d", r.given[0]) == re.sub(r"\d", "d", number) and r.text.startswith(f"call {r.given[0]} ")
+    plain = ["+1 (212) 555-1234", "212-555-1234", "+12125551234"]
+    given = [re.sub(r"\D", "", r.given[0])[-10:] for r in pii.pseudonymise(docs(spark, list(enumerate(plain))), key="k").collect()]
+    assert len(set(given)) == 1
+
+
+def test_pseudonyms_of_area_codes_are_bijective(spark):
+    values = spark.range(1000).select(F.concat(F.lit("+1 ("), F.lpad(F.col("id").cast("string"), 3, "0"), F.lit(") 555-0123")).alias("text"))
+    got = pii.pseudonymise(values)
+    assert got.where("given[0] = found[0]").count() == 0 and got.select("text").distinct().count() == 1000
+
+
+def test_every_number_of_the_table_changes(spark):
+    shape = r"\+\d \(\d{3}\) \d{3}-\d{4}"
+    texts = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where(F.col("text").rlike(shape))
+    rows = pii.pseudonymise(texts.select("doc_id", "text")).collect()
+    before = {r.doc_id: re.findall(shape, r.text) for r in texts.select("doc_id", "text").collect()}
+    assert sum(map(len, before.values())) == 159
+    assert [(r.doc_id, n) for r in rows for n in before[r.doc_id] if n in r.text] == []
+
+
 def test_url_rules(spark):
     urls = [(1, "http://A.Example.org/es/1"), (2, "https://x.example.org/en/1?a"), (3, "https://example.org/en/2"), (4, "http://b.com/fr/"), (5, "http://b.com/de/x#y"), (6, "http://org"), (7, None), (8, "no scheme"), (9, "http://b.net/fr/")]
     pages = spark.createDataFrame(urls, "page_id long, url string")

@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal data. DataFrame functions only.
 
-Validated values are permuted by a keyed Feistel network within their format: card numbers (13 to 19 digits of a known
-first digit; whether the check digit is right stays as it was), telephone numbers (ten digits in groups of 3, 3 and 4,
+Validated values are permuted by a keyed Feistel network within their format: card numbers (13 to 19 digits with Luhn's
+check digit), telephone numbers (ten digits in groups of 3, 3 and 4,
 with or without a country code, and 8 to 15 digits after a plus sign; the country code stays), IPv4 addresses, the local
 part of e-mail addresses, and dates from 1900 to 2099. The permutation is a bijection that depends
 on the key and the kind only, so equal values stay linked across documents; separators and lengths stay.
@@ -21,7 +21,10 @@ DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|
 NATIONAL = r"(?<![\d+])(?:\+\d{1,3}[ .-]?|1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
 FOREIGN = rf"(?<![\d+])\+[1-9](?:[ ./-]?(?!{ADDRESS}|{DATE})\(?\d\)?){{7,14}}(?!\d)"
 PHONE = f"{NATIONAL}|{FOREIGN}"
-CARD = r"(?<![\d.,-])[3-6](?:[ -]?\d){12,18}(?!\d|[.,-]\d)"
+#: Card numbers in one piece or in the usual groups, which no looser grouping may swallow.
+WRITTEN = rf"(?<!\d)(?<!\d\.)(?:\d{{13,19}}|\d{{4}}(?:[ -]\d{{4}}){{3}}(?:[ -](?!{PHONE})\d{{3}})?|\d{{4}}[ -]\d{{6}}[ -]\d{{4,5}}|\d{{4}}[ -]\d{{5}}[ -]\d{{6}}|\d{{4}}(?:[ -]\d{{3}}){{3}})(?!\d|\.\d)"
+LOOSE = rf"(?<!\d)(?<!\d\.)\d(?:[ -]?(?!{WRITTEN}|{ADDRESS}|{DATE}|{PHONE})\d){{12,18}}(?!\d|\.\d)"
+CARD = f"{WRITTEN}|{LOOSE}"
 ANY = "|".join((EMAIL, ADDRESS, DATE, PHONE, CARD))
 
 #: The country code that international digits begin with.
@@ -85,14 +88,33 @@ def _check_digit(payload: Column) -> Column:
 
 
 def _card(value: Column, key: str) -> Column:
-    def of(d: Column) -> Column:
+    """The longest run of the value's groups that has 13 to 19 digits and Luhn's check digit is permuted (of equal ones the
+    first); without one the value stays."""
+    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
+
+    def valid(d: Column) -> Column:
+        n = F.length(d)
+        return F.when((n >= 13) & (n <= 19), F.substring(d, n, F.lit(1)).cast("int") == _check_digit(F.substring(d, F.lit(1), n - 1))).otherwise(False)
+
+    def permuted(d: Column) -> Column:
         n = F.length(d)
-        payload = F.substring(d, F.lit(1), n - 1)
-        off = F.pmod(F.substring(d, n, F.lit(1)).cast("int") - _check_digit(payload), F.lit(10))
         new = F.concat(F.substring(d, F.lit(1), F.lit(1)), _permute(F.substring(d, F.lit(2), n - 2), DIGITS, key, "card"))
-        return _bind(new, lambda p: F.concat(p, F.pmod(_check_digit(p) + off, F.lit(10)).cast("string")))
+        return _bind(new, lambda p: F.concat(p, _check_digit(p).cast("string")))
 
-    return _refill(value, _bind(F.regexp_replace(value, "[^0-9]", ""), of))
+    def of(groups: Column) -> Column:
+        n = F.size(groups)
+        text = lambda i, j: F.array_join(F.slice(groups, i, j - i + 1), "")
+        spans = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: _bind(digits(text(i, j)), lambda d: F.struct(F.when(valid(d), F.length(d)).alias("n"), (-i).alias("i"), j.alias("j"))))))
+        best = F.array_max(F.filter(spans, lambda x: x["n"].isNotNull()))
+
+        def put(x: Column) -> Column:
+            i, j = -x["i"], x["j"]
+            new = _bind(text(i, j), lambda t: _refill(t, _bind(digits(t), permuted)))
+            return F.when(x.isNull(), value).otherwise(F.concat(text(F.lit(1), i - 1), new, text(j + 1, n)))
+
+        return _bind(best, put)
+
+    return _bind(F.regexp_extract_all(value, F.lit("[0-9]+[ -]?"), F.lit(0)), of)
 
 
 def _phone(value: Column, key: str) -> Column:
@@ -150,7 +172,8 @@ def _email(value: Column, key: str) -> Column:
 
 
 def pseudonym(value: Column, key: str) -> Column:
-    """The pseudonym of one candidate; values that do not validate (octets over 255, days that do not exist) stay."""
+    """The pseudonym of one candidate; values that do not validate (octets over 255, days that do not exist, a
+    wrong check digit) stay."""
     return (
         F.when(value.contains("@"), _email(value, key))
         .when(value.rlike(rf"^(?:{ADDRESS})$"), _address(value, key))

@@ -79,6 +79,29 @@ def test_every_number_of_the_table_changes(spark):
     assert [(r.doc_id, n) for r in rows for n in before[r.doc_id] if n in r.text] == []
 
 
+def luhn(number):
+    return sum((d * 2 - 9 if d > 4 else d * 2) if i % 2 else d for i, d in enumerate(map(int, reversed(re.sub(r"\D", "", number))))) % 10 == 0
+
+
+def test_pseudonyms_of_cards_need_their_check_digit(spark):
+    cards = ["4041894974608795", "2221000000000009", "9807915762804492", "4222222222222", "378282246310005", "3782 822463 10005", "4041-8949-7460-8795", "6304000000000000000"]
+    cards = [c for c in cards if luhn(c)]
+    assert len(cards) >= 6 and any(c[0] == "2" for c in cards)
+    frames = ["no,{}", "no-{}", "end.{}", "{},5", "{} 12 apples", "12 {}", "12 34 {}", "{} 1985-03-07", "{} 30.02.2001", "{} 212-555-1234", "{} {}", "({})"]
+    rows = [(i * 100 + k, f.format(c, c)) for i, c in enumerate(cards) for k, f in enumerate(frames)]
+    want = dict(rows)
+    given = {}
+    for r in pii.pseudonymise(docs(spark, rows), key="k").collect():
+        card = cards[r.doc_id // 100]
+        shape = re.escape(frames[r.doc_id % 100]).replace(r"\{\}", f"({re.sub('[0-9]', '[0-9]', card)})").replace(r"1985\-03\-07", r"\d{4}-\d\d-\d\d").replace(r"212\-555\-1234", r"\d{3}-\d{3}-\d{4}")
+        got = re.fullmatch(shape, r.text)
+        assert got and card not in r.text and all(map(luhn, got.groups())), (want[r.doc_id], r.text)
+        given.setdefault(card, set()).update(got.groups())
+    assert all(len(x) == 1 for x in given.values())
+    wrong = [(1, "4041894974608796"), (2, "4041 8949 7460 8796"), (3, "0.4041894974608795"), (4, "404189497460"), (5, "40418949746087954041")]
+    assert {r.doc_id: r.text for r in pii.pseudonymise(docs(spark, wrong), key="k").collect()} == dict(wrong)
+
+
 def test_url_rules(spark):
     urls = [(1, "http://A.Example.org/es/1"), (2, "https://x.example.org/en/1?a"), (3, "https://example.org/en/2"), (4, "http://b.com/fr/"), (5, "http://b.com/de/x#y"), (6, "http://org"), (7, None), (8, "no scheme"), (9, "http://b.net/fr/")]
     pages = spark.createDataFrame(urls, "page_id long, url string")

@@ -78,6 +78,20 @@ def test_messages(spark):
     assert (row.line, row.w) == ("feat(a-b): add it", "aa bb\ncc\n\ndddddd")
 
 
+def test_messages_of_whole_texts(spark):
+    """The registered queries see cut texts; here the limit of 72 is met on whole ones."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").select("conv_id", "turn", F.regexp_replace("text", "[^A-Za-z ]", "").alias("t")).where("trim(t) <> ''")
+    c = messages.extract_json(F.concat(F.lit('{"type":"Feat","scope":"a b","subject":"'), "t", F.lit('.","body":null}')))
+    none = F.lit(False)
+    broken = messages.violations(c, none, none, F.lit(0), none)
+    got = rows.select("t", messages.first_line(c).alias("line"), F.array_contains(broken, 7).alias("long"), messages.clean_text(F.concat(F.lit("feat: "), "t")).alias("cleaned")).collect()
+    assert sum(len(r.t) > 200 for r in got) > 10 and {r.long for r in got} == {True, False}
+    for r in got:
+        t = r.t.lstrip(" ")
+        assert r.line == f"feat(a-b): {t[0].lower()}{t[1:]}" and r.long == (len("feat") + len("a b") + 4 + len(t) > 72)
+        assert r.cleaned == f"feat: {r.t[0].lower()}{r.t[1:]}".rstrip(" ")
+
+
 def test_custom_patterns(spark):
     names = [n for n, _ in secrets.patterns(["[bad", "ok+"], ["jwt token"])]
     assert names[-1] == "Custom Pattern 2" and "JWT Token" not in names and len(names) == 24

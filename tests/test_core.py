@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from changelens.functions import messages, paths, secrets
-from changelens.operators import budget, diffs, grouping
+from changelens.operators import budget, diffs, evidence, grouping
 from changelens.sources import fixtures, patches
 from changelens.streaming.tokens import Reader, reassemble
 
@@ -92,6 +92,16 @@ def test_messages_of_whole_texts(spark):
         assert r.cleaned == f"feat: {r.t[0].lower()}{r.t[1:]}".rstrip(" ")
 
 
+def test_evidence_of_whole_inputs(spark):
+    """The registered queries see part of the symbols and files; here each changeset has all of its own."""
+    counted = spark.createDataFrame([("bare", 0, "a.rs", 5, 4), ("hot", 0, "b.rs", 5, 4), ("src99", 0, "c.rs", 5, 4), ("src99", 1, "d.rs", 9, 0)], "changeset_id string, file_idx long, path string, additions long, deletions long")
+    symbols = spark.createDataFrame([("hot", 7, "old", True, False), ("hot", 9, "fresh", True, True), ("hot", 8, "own", False, True), ("src99", 3, "gone", True, False)], "changeset_id string, sym_idx long, name string, is_public boolean, is_added boolean")
+    assert {r.changeset_id: r.is_mechanical for r in evidence.mechanical(counted, symbols).collect()} == {"bare": True, "hot": False, "src99": False}
+    assert {r.changeset_id: r.primary_change for r in evidence.primary_change(counted, symbols).collect()} == {"bare": "changes in a.rs", "hot": "added fresh", "src99": "removed gone"}
+    files = spark.createDataFrame([("m", "Cargo.toml"), ("m", ".gitlab-ci.yml"), ("n", "Cargo.toml"), ("n", "src/a.rs")], "changeset_id string, path string")
+    assert {r.changeset_id: r.is_dependency_only for r in evidence.dependency_only(files).collect()} == {"m": True, "n": False}
+
+
 def test_custom_patterns(spark):
     names = [n for n, _ in secrets.patterns(["[bad", "ok+"], ["jwt token"])]
     assert names[-1] == "Custom Pattern 2" and "JWT Token" not in names and len(names) == 24

@@ -65,8 +65,17 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", iden
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns. Rows repeated with the same id and text leave one."""
-    kept = duplicates(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).distinct()
-    sha = F.sha2(F.regexp_replace(F.coalesce(docs[text], F.lit("")), WHITE, "").cast("binary"), 256)
-    keyed = docs.withColumn("_sha", sha)
-    return keyed.join(kept, keyed[doc_id].eqNullSafe(kept["_kept_id"]) & (F.col("_sha") == F.col("_kept_sha")), "left_semi").drop("_sha")
+    """The rows of docs that stay, with all their columns. Rows repeated with the same id and text leave one, that with
+    most code points (of equal ones the one with the largest hash of its columns, maps aside)."""
+
+    def named(identifier: Column) -> Column:
+        return F.when(identifier.isNull(), "").otherwise(F.concat(F.lit("i"), identifier.cast("string"))).alias("_name")
+
+    kept = duplicates(docs, doc_id, text).where("kept").select(named(F.col("doc_id")), F.col("text_sha256").alias("_sha")).distinct()
+    whole = F.coalesce(F.col(text), F.lit(""))
+    sha = F.sha2(F.regexp_replace(whole, WHITE, "").cast("binary"), 256)
+    order = F.struct(F.length(whole), F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind]))
+    keyed = docs.select(named(F.col(doc_id)), sha.alias("_sha"), order.alias("_order"), F.struct(*docs.columns).alias("_row"))
+    # Repeated rows meet as one a task before the shuffle, which the join uses as well.
+    once = keyed.groupBy("_name", "_sha").agg(F.max_by("_row", "_order").alias("_row"))
+    return once.join(kept, ["_name", "_sha"], "left_semi").select("_row.*")

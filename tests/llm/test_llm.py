@@ -29,6 +29,16 @@ def test_exact_dedup(spark):
     assert exact_dedup.duplicates(docs(spark, [])).count() == 0
 
 
+def test_deduplicate_leaves_one_of_repeated_rows(spark):
+    rows = [*ODD, (None, "lonely text here"), (None, "lonelytext here"), (9, "word"), (9, " word "), (9, "other"), *[(7, "hot row")] * 300]
+    got = exact_dedup.deduplicate(docs(spark, rows).repartition(6))
+    assert got.columns == ["doc_id", "text", "keep_id", "n", "h"]
+    want = [(2, "a  b c d\te"), (5, "  \n"), (6, ODD[5][1]), (None, "lonely text here"), ODD[8], (9, " word "), (9, "other"), (7, "hot row")]
+    key = lambda r: (r[0] or 0, r[1])
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=key) == sorted(want, key=key)
+    assert exact_dedup.deduplicate(docs(spark, [])).count() == 0
+
+
 def test_exact_dedup_survives_colliding_identifiers(spark):
     rows = [(i, f"{i % 7} " + "some words that fill chunks " * (20 + i % 5)) for i in range(60)]
     want = {r.doc_id: r.keep_id for r in exact_dedup.duplicates(docs(spark, rows)).collect()}

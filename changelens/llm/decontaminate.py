@@ -2,8 +2,8 @@
 
 Benchmark items are cut into passages; a distributed randomised SVD of their TF-IDF matrix gives every term a latent
 vector. Each document is read once, in windows of WINDOW words that overlap by half; windows near a passage by cosine are
-candidates, and a longest common subsequence of words, over the passage and over its answer, decides. The benchmark is
-the query set: it is treated in blocks of BLOCK passages, which bound what is sent to the executors.
+candidates, and a longest common subsequence of words, over the passage and over its answer if it has one, decides. The
+benchmark is the query set: it is treated in blocks of BLOCK passages, which bound what is sent to the executors.
 """
 
 from __future__ import annotations
@@ -64,8 +64,8 @@ class Index:
 
 
 def _passages(items: DataFrame, item_id: str, text: str, answer: str | None) -> list[tuple[int, list[bytes], list[bytes]]]:
-    """(item, words, answer words) of each passage. Without answers, the last quarter of a passage (3 words or more) counts
-    as one. Null ids, null and wordless texts have none."""
+    """(item, words, answer words) of each passage. Answer words are empty without an answer: the share of
+    the passage decides alone. Null ids, null and wordless texts have none."""
     words, out = Words(), []
     for row in items.select(F.col(item_id).alias("i"), F.col(text).alias("t"), (F.col(answer) if answer else F.lit(None).cast("string")).alias("a")).where("i is not null and t is not null").orderBy("i", "t").toLocalIterator():
         own = words(row["t"].encode())
@@ -73,7 +73,7 @@ def _passages(items: DataFrame, item_id: str, text: str, answer: str | None) ->
         for k in range(count):
             part = own[len(own) * k // count : len(own) * (k + 1) // count]
             if part:
-                out.append((row["i"], part, words(row["a"].encode()) if row["a"] else part[-max(3, len(part) // 4) :]))
+                out.append((row["i"], part, words(row["a"].encode()) if row["a"] else []))
     return out
 
 

@@ -235,5 +235,19 @@ def test_decontamination(spark):
     assert decontaminate.matches(docs(spark, rows), bench.where("false")).count() == 0
 
 
+def test_decontamination_of_cut_passages(spark):
+    import random
+
+    rng = random.Random(3)
+    noise = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    items = [(k, noise(40), "an answer of its own") for k in range(20)]
+    part = lambda k, a, b: noise(100) + " " + " ".join(items[k][1].split()[a:b]) + " " + noise(100)
+    rows = [(1, part(1, 0, 30)), (2, part(2, 10, 40)), (3, part(3, 0, 26)), (4, noise(50) + " " + " ".join(items[4][1].split()[:30]) + " an answer of its own " + noise(50))]
+    bench = spark.createDataFrame(items, "item_id long, text string, answer string")
+    found = lambda **options: {(r.doc_id, r.item_id) for r in decontaminate.matches(docs(spark, rows), bench, **options).collect()}
+    assert found() == {(1, 1), (2, 2), (4, 4)}
+    assert found(answer="answer") == {(4, 4)}
+
+
 def test_longest_common_subsequence():
     assert decontaminate.common_length([b"a", b"b", b"a", b"c"], [b"x", b"a", b"a", b"c", b"b"]) == 3

@@ -183,6 +183,20 @@ def test_signatures_meet_when_similar():
                 assert set(shingle_join.signatures(a, 90)) & set(shingle_join.signatures(b, 90))
 
 
+def test_revisits_with_each_validator(spark):
+    """The registered query has etags and one response a URL only; here pages have three responses and all validators."""
+    kinds = ["etag", "last-modified", None]
+    rows = []
+    for page in range(30):
+        kind = kinds[page % 3]
+        rows += [(page * 10 + k, f"http://a.com/{page}", 5000 * k, "response", {kind: f"v{k}"} if kind else {}, f"body {page} {k}") for k in range(3)]
+        rows += [(page * 10 + 5 + k, f"https://www.a.com/{page}/?utm_source=x", 5000 * k + 4000, "revisit", {kind: "v1"} if kind else {}, None) for k in range(3)]
+    frame = spark.createDataFrame(rows, "record_id long, url string, s long, kind string, headers map<string,string>, body string").withColumn("at", F.timestamp_seconds("s"))
+    got = {r.record_id: (r.response_id, r.status, r.body) for r in warc.resolve(frame).collect()}
+    same = lambda page, k: "unvalidated" if page % 3 == 2 else "resolved" if k == 1 else "mismatch"
+    assert got == {page * 10 + 5 + k: (page * 10 + k, same(page, k), f"body {page} {k}" if same(page, k) == "resolved" else None) for page in range(30) for k in range(3)}
+
+
 def test_revisits(spark):
     rows = [(1, "http://www.A.com/x/?utm_source=q", 10, "response", {"etag": "1", "date": "d1"}, "one"), (2, "https://a.com/x", 20, "response", {"etag": "2", "server": "s"}, "two"), (3, "http://a.com/x#f", 9000, "revisit", {"etag": "2", "date": "d3", "server": "no"}, None), (4, "http://a.com/x", 15, "revisit", {"etag": "9"}, None), (5, "http://b.com/", 5, "revisit", None, None), (6, None, 5, "revisit", None, None), (7, "http://a.com/x", None, "revisit", None, None), (8, "http://a.com/x", 21, "revisit", {}, None)]
     frame = spark.createDataFrame(rows, "record_id long, url string, s long, kind string, headers map<string,string>, body string").withColumn("at", F.timestamp_seconds("s"))

@@ -7,9 +7,19 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
-    session = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g").getOrCreate()
+    scratch = tmp_path_factory.mktemp("scratch")
+    options = {
+        "spark.sql.shuffle.partitions": "8",
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.driver.memory": "8g",
+        "spark.checkpoint.dir": f"file://{scratch}/shared",
+        "spark.sql.warehouse.dir": f"{scratch}/warehouse",
+    }
+    session = SparkSession.builder.master("local[8]").config(map=options).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session

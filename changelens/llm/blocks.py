@@ -1,129 +1,53 @@
-"""Join by distinct word, block by block.
+"""Documents dealt over blocks of bounded size, for operators that join texts with tables of words or n-grams.
 
-Documents are dealt by a hash over blocks of bounded size. A block names each of its distinct words once, in messages
-to word buckets; a bucket sees each distinct word of the corpus once and answers; the block looks its words up by
-position. A frequent word costs a row a block, not a row an occurrence, and no table of all words is ever in one place.
-Message and answer list the words of (block, bucket) in the same order, so answers carry no words.
+A block names each of its distinct words (or n-grams) in one row, the rows meet the table, and the answers come back to
+the block: a frequent word costs a row a block, not a row an occurrence. Rows follow the input: no count of buckets
+grows with it. Texts travel compressed, one row a document.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
-from zlib import crc32
+from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-BLOCK_BYTES = 6 << 20
+from .common import bounded_batches
 
+#: Blocks at least, so that small inputs use all cores.
+LEAST = 12
 
-def pack(data: pa.Table) -> bytes:
-    """A table in compressed form: one row, whose lists are the columns. Texts and lists go as lengths and contents, which
-    compress better than offsets."""
-    columns, names = [], []
-    for name, column in zip(data.column_names, data.columns):
-        own = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
-        text = pa.types.is_string(own.type) or pa.types.is_binary(own.type)
-        if len(own) and not own.null_count and (text or pa.types.is_list(own.type)):
-            offsets = np.frombuffer(own.buffers()[1], np.int32)[own.offset : own.offset + len(own) + 1]
-            lengths = np.diff(offsets)
-            columns.append(pa.array(lengths.astype(np.uint16) if lengths.max() < 1 << 16 else lengths))
-            names.append(f"lengths of {own.type}")
-            own = own.values[offsets[0] : offsets[-1]] if not text else pa.array(np.frombuffer(own.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]])
-        columns.append(own)
-        names.append(name)
-    row = pa.Table.from_arrays([pa.LargeListArray.from_arrays(pa.array([0, len(c)], pa.int64()), c) for c in columns], names=names)
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, row.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
-        out.write_table(row)
-    return sink.getvalue().to_pybytes()
 
+def dealt(docs: DataFrame, columns: dict[str, str], text: str, block_bytes: int, least: int = LEAST) -> DataFrame:
+    """(block int, the columns, z binary): each row's block and its compressed text; null texts count as empty. columns: SQL
+    of what is kept of each row. Repeated rows are spread as well: the place of a row in its partition is hashed too."""
+    bounded_batches(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0
+    count = max(least, -(-size // block_bytes))
+    place = F.xxhash64(*[F.expr(sql) for sql in columns.values()], F.monotonically_increasing_id())
+    kept = [F.expr(sql).alias(name) for name, sql in columns.items()]
+    rows = docs.select(F.pmod(place, F.lit(count)).cast("int").alias("block"), *kept, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("z"))
 
-def unpack(data: bytes) -> pa.Table:
-    with pa.ipc.open_stream(pa.py_buffer(data)) as got:
-        row = got.read_all()
-    columns, names, lengths = [], [], None
-    for name, column in zip(row.column_names, row.columns):
-        own = column.chunk(0).values
-        if name.startswith("lengths of "):
-            kind, lengths = name.removeprefix("lengths of "), own.to_numpy()
-            continue
-        if lengths is not None:
-            offsets = pa.array(np.concatenate(([0], np.cumsum(lengths, dtype=np.int64))).astype(np.int32))
-            if kind in ("string", "binary"):
-                own = pa.Array.from_buffers(pa.string() if kind == "string" else pa.binary(), len(lengths), [None, offsets.buffers()[1], pa.py_buffer(own.to_numpy())])
-            else:
-                own = pa.ListArray.from_arrays(offsets, own)
-            lengths = None
-        columns.append(own)
-        names.append(name)
-    return pa.Table.from_arrays(columns, names=names)
-
-
-def packed(docs: DataFrame, columns: dict[str, str], text: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """(block int, payload binary), each payload some rows of a block, and the number of blocks. columns: SQL of what a
-    block keeps of each row."""
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    count = max(1, -(-size // block_bytes))
-    kept = docs.selectExpr(f"cast(pmod(xxhash64({', '.join(columns.values())}), {count}) as int) as block", *[f"{sql} as `{name}`" for name, sql in columns.items()])
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            rows = pa.Table.from_batches([batch]).sort_by("block")
-            blocks = rows["block"].to_numpy()
-            ends = [0, *((blocks[1:] != blocks[:-1]).nonzero()[0] + 1).tolist(), len(blocks)] if len(blocks) else [0]
-            got = [(int(blocks[a]), pack(rows.slice(a, b - a).drop_columns(["block"]))) for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], names=["block", "payload"])
-
-    return kept.mapInArrow(deal, "block int, payload binary"), count
-
-
-def dealt(words, buckets: int, key: Callable = bytes) -> dict[int, list[bytes]]:
-    """Distinct words (bytes) by bucket of their key, each list in order."""
-    out: dict[int, list[bytes]] = {}
-    for w in words:
-        out.setdefault(crc32(key(w)) % buckets, []).append(w)
-    for x in out.values():
-        x.sort()
-    return out
-
-
-def messages(packs: DataFrame, count: Callable[[pa.Table, dict[bytes, int]], None], buckets: int, key: Callable = bytes) -> DataFrame:
-    """(bucket int, block int, words binary): the distinct words of a block with what count(rows, counts) adds up of each."""
-
-    def of(block: pa.Table) -> pa.Table:
-        counts: dict[bytes, int] = Counter()
-        for payload in block["payload"]:
-            count(unpack(payload.as_py()), counts)
-        out = [(b, pack(pa.table({"word": pa.array(ws, pa.binary()), "n": pa.array([counts[w] for w in ws], pa.int64())}))) for b, ws in dealt(counts, buckets, key).items()]
-        return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "block": pa.array([block["block"][0].as_py()] * len(out), pa.int32()), "words": pa.array([x for _, x in out], pa.binary())})
-
-    return packs.groupBy("block").applyInArrow(of, "bucket int, block int, words binary")
-
-
-def answered(packs: DataFrame, answers: DataFrame, words_of: Callable[[pa.Table], Iterator[list]], finish: Callable[[pa.Table, list[np.ndarray], list], pa.Table], buckets: int, schema: str, key: Callable = bytes) -> DataFrame:
-    """finish(rows, places, columns) for each payload: places has, for each row, the positions of its words (bytes,
-    or text that counts as its UTF-8) in the columns that the buckets answered. answers: block int, bucket int, values binary (a packed table, a row a word, in order)."""
-
-    def of(block: pa.Table, got: pa.Table) -> pa.Table:
-        at: dict = defaultdict()
-        at.default_factory = at.__len__
-        rows = []
-        for payload in block["payload"]:
-            data = unpack(payload.as_py())
-            rows.append((data, [np.fromiter(map(at.__getitem__, words), np.int64, len(words)) for words in words_of(data)]))
-        at = {w.encode() if isinstance(w, str) else w: i for w, i in at.items()}
-        order, tables = [], []
-        by = dealt(at, buckets, key)
-        for bucket, values in zip(got["bucket"].to_pylist(), got["values"]):
-            tables.append(unpack(values.as_py()))
-            order += [at[w] for w in by[bucket]]
-        back = np.empty(len(at), np.int64)
-        back[np.array(order, np.int64)] = np.arange(len(order))
-        columns = [c.combine_chunks() for c in pa.concat_tables(tables).take(pa.array(back)).columns] if tables else []
-        return pa.concat_tables([finish(data, places, columns) for data, places in rows])
-
-    return packs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(of, schema)
+            small = pa.array([tool.compress(x.as_py()) for x in batch.column(batch.num_columns - 1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], small], names=batch.schema.names)
+
+    return rows.mapInArrow(shrink, StructType([*rows.schema.fields[:-1], StructField("z", BinaryType())]))
+
+
+def chunks(block: pa.Table, size: int) -> Iterator[tuple[pa.Table, list[bytes]]]:
+    """Some rows of a block and their texts, about `size` bytes at once."""
+    tool, start, texts, total = zstandard.ZstdDecompressor(), 0, [], 0
+    for small in block["z"]:
+        texts.append(tool.decompress(small.as_py()))
+        total += len(texts[-1])
+        if total >= size:
+            yield block.slice(start, len(texts)), texts
+            start, texts, total = start + len(texts), [], 0
+    if texts:
+        yield block.slice(start, len(texts)), texts

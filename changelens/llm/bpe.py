@@ -1,12 +1,14 @@
 """Byte-pair encoding and decoding with a public tokenizer file.
 
-Texts are split in Spark into words (white space and what follows it up to the next white space; the tokenizer's own
-pieces never reach across two such words), each distinct word is encoded once, and the ids are joined back by
-position (see blocks). Decoding joins ids with the id-to-piece table, whose size the vocabulary bounds.
+Texts are split into words (white space and what follows it, cut before a full stop or comma that follows a letter; the
+tokenizer's own pieces never reach across such cuts). Each block of documents names its distinct words, each distinct
+word of all blocks is encoded once, and the ids are joined back by the word's place in its block. Decoding joins ids
+with the id-to-piece table, whose size the vocabulary bounds.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -17,11 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .blocks import answered, messages, pack, packed, unpack
+from .blocks import chunks, dealt
+from .common import bounded_batches
 
 #: Unicode's White_Space (fixed values).
 SPACES = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Letters and digits after which a word is cut before a full stop or comma: those of Latin-1 and Latin Extended-A.
+LETTERS = "0-9A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u017f"
 WORD = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
+CUT = re.compile(f"[{SPACES}]*[^{SPACES}.,]+(?:(?<=[{LETTERS}])(?=[.,])|[^{SPACES}]*)|[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
+BLOCK_BYTES, AT_ONCE = 24 << 20, 4 << 20
 
 
 def default_file() -> str:
@@ -30,9 +37,13 @@ def default_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _words(rows: pa.Table) -> Iterator[list[str]]:
-    for text in rows["text"]:
-        yield WORD.findall(text.as_py())
+def words_of(model: str) -> re.Pattern:
+    """How a tokenizer's texts are split: at punctuation only where its own pieces end there too (byte-level pieces of
+    letters, digits, or other signs) and no token that is matched whole would be cut."""
+    told = json.loads(model)
+    split = told.get("pre_tokenizer") or {}
+    whole = all(CUT.findall(x["content"]) == [x["content"]] for x in told.get("added_tokens") or [])
+    return CUT if split.get("type") == "ByteLevel" and split.get("use_regex") and not told.get("normalizer") and whole else WORD
 
 
 @lru_cache(maxsize=2)
@@ -47,53 +58,83 @@ def _tool(model: str):
     return tool
 
 
-def _count(rows: pa.Table, counts: dict[bytes, int]) -> None:
-    distinct: set[str] = set()
-    for words in _words(rows):
-        distinct.update(words)
-    counts.update(dict.fromkeys((w.encode() for w in distinct), 1))
+def _distinct(block: pa.Table, word: re.Pattern) -> list[str]:
+    """The distinct words of a block, in order."""
+    found: set[str] = set()
+    for _, texts in chunks(block, AT_ONCE):
+        for text in texts:
+            found.update(word.findall(text.decode()))
+    return sorted(found)
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
+    """(block, place, ids) of (block, place, word) in the order of the words: each distinct word is encoded once."""
+    tool, last, ids = _tool(model), None, []
+    for batch in batches:
+        words = batch.column(2).to_pylist()
+        new = [w for before, w in zip([last, *words], words) if w != before]
+        told = iter(tool.encode_batch_fast(new, add_special_tokens=False))
+        sizes, flat = np.zeros(len(words) + 1, np.int32), []
+        for k, w in enumerate(words):
+            if w != last:
+                last, ids = w, next(told).ids
+            flat += ids
+            sizes[k + 1] = len(flat)
+        lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat, pa.int32()))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], lists], names=["block", "place", "ids"])
+
+
+def _gathered(starts: np.ndarray, flat: np.ndarray, places: list[np.ndarray]) -> pa.ListArray:
+    """For each row, the lists at its places in one list; starts: where each list begins in flat."""
+    every = np.concatenate(places) if places else np.zeros(0, np.int64)
+    n = np.diff(starts)[every]
+    ends = np.concatenate(([0], np.cumsum(n)))
+    ids = flat[np.repeat(starts[:-1][every] - ends[:-1], n) + np.arange(ends[-1])]
+    rows = np.concatenate(([0], np.cumsum([len(p) for p in places], dtype=np.int64)))
+    return pa.ListArray.from_arrays(pa.array(ends[rows], pa.int32()), pa.array(ids, pa.int32()))
+
+
+def _round(docs: DataFrame, tokenizer: str | None, doc_id: str, text: str, block_bytes: int, back: bool) -> DataFrame:
+    with open(tokenizer or default_file(), encoding="utf-8") as f:
+        model = f.read()
+    told, word = docs.sparkSession.sparkContext.broadcast((model, pieces(tokenizer) if back else [])), words_of(model)
+    blocks = dealt(docs, {"doc_id": f"`{doc_id}`"}, text, block_bytes)
+
+    def ask(block: pa.Table) -> pa.Table:
+        words = _distinct(block, word)
+        return pa.table({"block": pa.array([block["block"][0].as_py()] * len(words), pa.int32()), "place": pa.array(np.arange(len(words), dtype=np.int32)), "word": pa.array(words, pa.string())})
+
+    def finish(block: pa.Table, got: pa.Table) -> pa.Table:
+        got = got.sort_by("place")
+        lists = got["ids"].combine_chunks()
+        flat = lists.flatten().to_numpy()
+        starts = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(), dtype=np.int64))) if len(lists) else np.zeros(1, np.int64)
+        at = {w: k for k, w in enumerate(_distinct(block, word))}
+        out, table = [], Pieces(told.value[1]) if back else None
+        for rows, texts in chunks(block, AT_ONCE):
+            found = [word.findall(t.decode()) for t in texts]
+            ids = _gathered(starts, flat, [np.fromiter(map(at.__getitem__, ws), np.int64, len(ws)) for ws in found])
+            out.append(pa.table({"doc_id": rows["doc_id"], "ids": ids} | ({"decoded": table(ids)} if back else {})))
+        return pa.concat_tables(out)
+
+    asked = blocks.groupBy("block").applyInArrow(ask, "block int, place int, word string")
+    answers = asked.repartition("word").sortWithinPartitions("word").mapInArrow(lambda batches: _encoded(batches, told.value[0]), "block int, place int, ids array<int>")
+    kind = docs.select(doc_id).schema[0].dataType.simpleString()
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, f"doc_id {kind}, ids array<int>" + ", decoded string" * back)
 
 
-def encode(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", **blocks) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row per row of docs: doc_id, ids array<int>, as the tokenizers library encodes without added special tokens (the
-    text of a special token counts as that token). Null counts as empty and gives an empty array. tokenizer: a file
-    that the driver can read; its content (a few MB) is sent to the executors."""
-    with open(tokenizer or default_file(), encoding="utf-8") as f:
-        model = docs.sparkSession.sparkContext.broadcast(f.read())
-    packs, count = packed(docs, {"doc_id": f"`{doc_id}`", "text": f"coalesce(`{text}`, '')"}, text, **blocks)
-    buckets = max(8, 2 * count)
-    asked = messages(packs, _count, buckets)
-
-    def encode_bucket(got: pa.Table) -> pa.Table:
-        tool = _tool(model.value)
-        ids: dict[bytes, list[int]] = {}
-        out = []
-        for block, words in zip(got["block"].to_pylist(), got["words"]):
-            own = unpack(words.as_py())["word"].to_pylist()
-            new = [w for w in own if w not in ids]
-            for w, e in zip(new, tool.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-                ids[w] = e.ids
-            out.append((block, pack(pa.table({"ids": pa.array([ids[w] for w in own], pa.list_(pa.int32()))}))))
-        return pa.table({"block": pa.array([b for b, _ in out], pa.int32()), "bucket": pa.array([got["bucket"][0].as_py()] * len(out), pa.int32()), "values": pa.array([x for _, x in out], pa.binary())})
-
-    answers = asked.groupBy("bucket").applyInArrow(encode_bucket, "block int, bucket int, values binary")
-
-    def finish(rows: pa.Table, places: list[np.ndarray], columns: list) -> pa.Table:
-        if not columns:
-            return pa.table({"doc_id": rows["doc_id"], "ids": pa.array([[]] * len(places), pa.list_(pa.int32()))})
-        lists = columns[0]
-        starts, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-        sizes = np.diff(starts)
-        every = np.concatenate(places)
-        n = sizes[every]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(starts[:-1][every] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        words = np.concatenate(([0], np.cumsum([len(p) for p in places])))
-        offsets = np.concatenate(([0], ends))[words]
-        return pa.table({"doc_id": rows["doc_id"], "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))})
+    text of a special token counts as that token). Null counts as empty and gives an empty array; repeated rows and null
+    ids stay rows of their own; other columns are not read. tokenizer: a file that the driver can read; its content (a
+    few MB) is sent to the executors."""
+    return _round(docs, tokenizer, doc_id, text, block_bytes, False)
 
-    kind = docs.select(doc_id).schema[0].dataType.simpleString()
-    return answered(packs, answers, _words, finish, buckets, f"doc_id {kind}, ids array<int>")
+
+def round_trip(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """encode() and decode() in one: doc_id, ids, decoded. Decoding what a block has encoded there saves a second Python
+    worker for each core."""
+    return _round(docs, tokenizer, doc_id, text, block_bytes, True)
 
 
 def pieces(tokenizer: str | None = None) -> list[bytes | None]:
@@ -110,26 +151,36 @@ def pieces(tokenizer: str | None = None) -> list[bytes | None]:
     return out
 
 
+class Pieces:
+    """The join of lists of ids with the id-to-piece table."""
+
+    def __init__(self, table: list[bytes | None]):
+        # The last piece is empty: that of ids without one.
+        self.size = np.array([*[len(p or b"") for p in table], 0], np.int64)
+        self.own = pa.array([*[p or b"" for p in table], b""], pa.large_binary())
+
+    def __call__(self, lists: pa.ListArray) -> pa.Array:
+        whole, ends, nulls = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist(), lists.is_null().to_pylist()
+        texts = []
+        for a, b, null in zip(ends, ends[1:], nulls):
+            flat = np.nan_to_num(whole[a:b], nan=-1).astype(np.int64)
+            flat[(flat < 0) | (flat >= len(self.size))] = len(self.size) - 1
+            joined = self.own.take(pa.array(flat)).buffers()[2] if not null and self.size[flat].any() else None
+            texts.append(None if null else str(joined, "utf-8", "replace") if joined else "")
+        return pa.array(texts, pa.string())
+
+
 def decode(encoded: DataFrame, tokenizer: str | None = None, ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """encoded with a text column `into`: the pieces of the ids, joined; broken UTF-8 becomes U+FFFD, ids without a piece
-    are left out, null ids give null."""
+    """encoded with a text column `into` (in place of one of that name): the pieces of the ids, joined; broken UTF-8
+    becomes U+FFFD, ids that are null or without a piece are left out, null lists give null."""
+    bounded_batches(encoded.sparkSession)
     table = encoded.sparkSession.sparkContext.broadcast(pieces(tokenizer))
     kept = [c for c in encoded.columns if c != into]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The last piece is empty: that of ids without one.
-        size = np.array([*[len(p or b"") for p in table.value], 0], np.int64)
-        own = pa.array([*[p or b"" for p in table.value], b""], pa.large_binary())
-        at = kept.index(ids)
+        joined, at = Pieces(table.value), kept.index(ids)
         for batch in batches:
-            lists, texts = batch.column(at), []
-            whole, ends, nulls = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist(), lists.is_null().to_pylist()
-            for a, b, null in zip(ends, ends[1:], nulls):
-                flat = np.nan_to_num(whole[a:b], nan=-1).astype(np.int64)
-                flat[(flat < 0) | (flat >= len(size))] = len(size) - 1
-                joined = own.take(pa.array(flat)).buffers()[2] if not null and size[flat].any() else None
-                texts.append(None if null else str(joined, "utf-8", "replace") if joined else "")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*kept, into])
+            yield pa.RecordBatch.from_arrays([*batch.columns, joined(batch.column(at))], names=[*kept, into])
 
     rows = encoded.select(*kept)
     return rows.mapInArrow(of, StructType([*rows.schema.fields, StructField(into, StringType())]))

@@ -1,215 +1,200 @@
-"""Language-model scores by a probabilistic suffix tree over the characters (bytes) of words.
+"""Language-model scores by a probabilistic suffix tree over the bytes of texts.
 
-A text is a sequence of tokens, a token a sequence of symbols with a stop; before each token the text can end. The
-tree's contexts are the last symbols, up to DEPTH and up to TAIL symbols into the token before (the start of a token
-counts as one). A context stays when what follows it diverges from what follows its suffix by more than chance allows; the next
-symbol's probability is smoothed towards the suffix, down to the uniform one, and the longest kept suffix gives it.
+A text is the sequence of its words with a space between them and an end symbol after them. The tree's contexts are the
+last symbols, up to DEPTH, across the borders of words; before a text's first symbol stand start symbols. A context stays
+when what follows it diverges from what follows its suffix by more than chance allows; the next symbol's probability is
+smoothed towards the suffix, down to the uniform one, and the longest kept suffix gives it. Probabilities sum to one
+over the symbols, so a text's score is the log probability of that very text.
 
-Everything is counted over all training documents. Texts meet the counts through the blockwise join by word (blocks),
-words meet the tree through the same join by n-gram: neither vocabulary nor tree is ever in one place.
+Everything is counted over all training documents. Each block of documents names its distinct words and n-grams once,
+with their counts; counts and tree are made by joins and windows, and the answers go back to the blocks: neither
+vocabulary nor tree is ever in one place.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import answered, messages, pack, packed, unpack
-from .common import remainder, saved
+from .blocks import chunks, dealt
+from .common import saved
 
-DEPTH = 5  # context symbols; an n-gram of DEPTH + 1 symbols fits a 64-bit number
-TAIL = 2  # symbols of the token before that a context can reach
-START, STOP = 1, 2  # of a token; bytes below 9 inside words count as one symbol, 4
+DEPTH = 5  # context symbols
 SYMBOLS = 256
+START, END = 0xFE, 0xFF  # bytes that no UTF-8 text has
 UPPER = bytes(range(65, 91))
 LOWER = bytes.maketrans(UPPER, UPPER.lower())
-
-
-def tokens(text: bytes) -> list[bytes]:
-    """The words of a text, each after the end of the word before it and a space."""
-    words = text.translate(LOWER).split()
-    tails = [b"", *[w[-TAIL:] for w in words]]
-    return list(map(b" ".join, zip(tails, words)))
-
-
-def _word(token: bytes) -> bytes:
-    return token.partition(b" ")[2]
-
-
-def _tokens(rows: pa.Table) -> Iterator[list[bytes]]:
-    for text in rows["text"]:
-        yield tokens(text.as_py())
-
-
-def _count(rows: pa.Table, counts: Counter) -> None:
-    """Distinct tokens, with their counts in training rows."""
-    for words, held in zip(_tokens(rows), rows["held_out"].to_pylist()):
-        if held:
-            for w in set(words).difference(counts):
-                counts[w] = 0
-        else:
-            counts.update(words)
-
-
-def grams(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams that end inside the words of the tokens or at their stop, as numbers (last symbol lowest, zeros before
-    the tail), and where each token's begin."""
-    if not len(keys):
-        return np.zeros(0, np.int64), np.zeros(1, np.int64)
-    _, offsets, data = keys.buffers()
-    offsets = np.frombuffer(offsets, np.int32)[keys.offset : keys.offset + len(keys) + 1].astype(np.int64)
-    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
-    lengths = np.diff(offsets) + 1
-    ends = np.cumsum(lengths)
-    flat = np.full(ends[-1], 32, np.int64)
-    own = np.ones(len(flat), bool)
-    own[ends - 1] = False
-    flat[own] = data
-    gaps = np.flatnonzero(flat == 32)
-    first = gaps[::2]  # one space inside each token and one after it
-    flat[flat < 9] = 4
-    flat[first], flat[ends - 1] = START, STOP
-    begin = ends - lengths
-    place = np.arange(len(flat)) - np.repeat(begin, lengths)
-    out = flat.copy()
-    for k in range(1, DEPTH + 1):
-        before = np.zeros_like(flat)
-        before[k:] = flat[:-k]
-        before[place < k] = 0
-        out |= before << (8 * k)
-    inside = place > np.repeat(first - begin, lengths)
-    return out[inside], np.concatenate(([0], np.cumsum(ends - first - 1)))
-
-
-SLICE = 50_000
-
-
-def _slices(keys: pa.ChunkedArray | pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    whole = keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys
-    for start in range(0, len(whole), SLICE):
-        yield start, *grams(pa.array(whole.slice(start, SLICE).to_pylist(), pa.binary()))
-
-
-def _gram_rows(batches):
-    """(gram, n) of batches of (token, n); repeats go inside a batch."""
-    for batch in batches:
-        weights = batch.column(1).to_numpy()
-        for start, keys, begins in _slices(batch.column(0)):
-            each = np.repeat(weights[start : start + SLICE], np.diff(begins))
-            distinct, place = np.unique(keys, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(np.bincount(place, each, len(distinct)).astype(np.int64))], names=["gram", "n"])
-
-
-def tree(counts: DataFrame, smoothing: float = 1.0, least: int = 2, divergence: float = 0.5) -> DataFrame:
-    """counts: gram, n (0 where only seen in held-out words), with all symbols up to the depth. (gram, logp): log10 of the
+#: Bytes of a block's text; of texts whose words are looked up at once; symbols whose n-grams are made at once.
+BLOCK_BYTES, AT_ONCE, SLICE = 64 << 20, 8 << 20, 1 << 20
+
+
+def words_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, pa.Array]:
+    """The words of all texts in one array, how many each text has, and each text's words with a space between them."""
+    ends = np.cumsum([0, *map(len, texts)], dtype=np.int64)
+    whole = pa.Array.from_buffers(pa.string(), len(texts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(b"".join(texts).translate(LOWER))])
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(whole))
+    words, lengths = lists.flatten(), lists.value_lengths().to_numpy()
+    some = pc.binary_length(words).to_numpy() > 0  # a text without words has one empty word
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    joined = pc.binary_join(lists, " ").cast(pa.binary())
+    return words.filter(pa.array(some)).cast(pa.binary()), np.bincount(owner[some], minlength=len(texts)), joined
+
+
+def grams(joined: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For some texts at once: the first one's place, the n-gram that ends at each symbol (last symbol lowest) and where
+    each text's begin."""
+    ends = np.cumsum(pc.binary_length(joined).to_numpy() + 1)
+    start = 0
+    while start < len(joined):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + SLICE, "right")))
+        flat = np.frombuffer(b"".join(x + bytes([END]) for x in joined[start:stop].to_pylist()), np.uint8).astype(np.int64)
+        begins = np.concatenate(([0], ends[start : stop - 1] - before)).astype(np.int64)
+        place = np.arange(len(flat)) - np.repeat(begins, np.diff(np.append(begins, len(flat))))
+        out = flat.copy()
+        for k in range(1, DEPTH + 1):
+            shifted = np.full_like(flat, START)
+            shifted[k:] = flat[:-k]
+            shifted[place < k] = START
+            out |= shifted << (8 * k)
+        yield start, out, begins
+        start = stop
+
+
+class Counts:
+    """Sums by number, merged when many have gathered."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, keys: np.ndarray, weight: int) -> None:
+        distinct, n = np.unique(keys, return_counts=True)
+        self.parts.append((distinct, n * weight))
+        self.held += len(distinct)
+        if self.held > 2_000_000:
+            self.parts = [self.total()]
+            self.held = 0  # what stays is merged again only after as many more
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys, place = np.unique(np.concatenate([k for k, _ in self.parts]), return_inverse=True)
+        return keys, np.bincount(place, np.concatenate([n for _, n in self.parts]), len(keys)).astype(np.int64)
+
+
+def _asked(block: pa.Table) -> pa.Table:
+    """(block, gram, word, n): the distinct n-grams and words of a block and how often training rows have them."""
+    counts, tables = Counts(), []
+    for rows, texts in chunks(block, AT_ONCE):
+        held = rows["held_out"].to_numpy()
+        words, lengths, joined = words_of(texts)
+        weights = np.repeat((~held).astype(np.int64), lengths)
+        tables.append(pa.table({"word": words, "n": weights}).group_by("word", use_threads=False).aggregate([("n", "sum")]))
+        for start, keys, begins in grams(joined):
+            sizes = np.diff(np.append(begins, len(keys)))
+            out = np.repeat(held[start : start + len(begins)], sizes)
+            counts.add(keys[~out], 1)
+            counts.add(keys[out], 0)
+    keys, n = counts.total()
+    words = pa.concat_tables(tables).group_by("word", use_threads=False).aggregate([("n_sum", "sum")]).sort_by("word")
+    size = len(keys) + len(words)
+    return pa.table(
+        {
+            "block": pa.array(np.full(size, block["block"][0].as_py(), np.int32)),
+            "gram": pa.chunked_array([pa.array(keys), pa.nulls(len(words), pa.int64())]),
+            "word": pa.chunked_array([pa.nulls(len(keys), pa.binary()), *words["word"].chunks]),
+            "n": pa.chunked_array([pa.array(n), *words["n_sum_sum"].chunks]),
+        }
+    )
+
+
+def tree(counts: DataFrame, smoothing: float = 2.0, least: int = 2, divergence: float = 1.0) -> DataFrame:
+    """counts: gram, n (0 where only seen in held-out texts), with all symbols up to the depth. (gram, logp): log10 of the
     probability of the last symbol by the longest kept suffix. A context is kept when it was seen `least` times and
     sum over next symbols of n * ln(p / p by its suffix) exceeds `divergence` times its number of next symbols."""
     tables = [counts.select("gram", "n")]
     for k in range(DEPTH - 1, -1, -1):
         mask = (1 << 8 * (k + 1)) - 1
         shorter = tables[0].select(F.col("gram").bitwiseAND(F.lit(mask)).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
-        tables.insert(0, saved(shorter) if k % 2 else shorter)
+        tables.insert(0, saved(shorter))
     lower = None
     for k, own in enumerate(tables):
-        context = F.shiftright("gram", 8)
-        totals = own.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.sum((F.col("n") > 0).cast("long")).alias("kinds"))
-        rows = own.withColumn("context", context).join(totals, "context")
+        context = Window.partitionBy("context")  # at most SYMBOLS rows each
+        rows = own.withColumn("context", F.shiftright("gram", 8))
         if lower is None:
-            rows = rows.withColumn("p", (F.col("n") + 1 / SYMBOLS) / (F.col("total") + 1))
+            rows = rows.withColumn("q", F.lit(1 / SYMBOLS))
         else:
             below = lower.select(F.col("gram").alias("suffix"), F.col("p").alias("q"))
             rows = rows.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))).join(below, "suffix").drop("suffix")
-            smooth = smoothing * F.greatest(F.col("kinds"), F.lit(1))
-            rows = rows.withColumn("r", (F.col("n") + smooth * F.col("q")) / (F.col("total") + smooth))
-            gain = rows.where("n > 0").groupBy("context", "total", "kinds").agg(F.sum(F.col("n") * F.log(F.col("r") / F.col("q"))).alias("gain"))
-            keep = gain.where((F.col("total") >= least) & (F.col("gain") > divergence * F.col("kinds"))).select("context", F.lit(True).alias("stays"))
-            rows = rows.join(keep, "context", "left").withColumn("p", F.when(F.col("stays"), F.col("r")).otherwise(F.col("q")))
-        lower = saved(rows.select("gram", "p"))
+        rows = rows.withColumn("total", F.sum("n").over(context)).withColumn("kinds", F.sum((F.col("n") > 0).cast("long")).over(context))
+        smooth = smoothing * F.greatest(F.col("kinds"), F.lit(1))
+        rows = rows.withColumn("r", (F.col("n") + smooth * F.col("q")) / (F.col("total") + smooth))
+        rows = rows.withColumn("gain", F.sum(F.col("n") * F.log(F.col("r") / F.col("q"))).over(context))
+        keep = (F.col("total") >= least) & (F.col("gain") > divergence * F.col("kinds"))
+        rows = rows.select("gram", F.when(keep, F.col("r")).otherwise(F.col("q")).alias("p"))
+        lower = saved(rows)
     return lower.select("gram", F.log10("p").alias("logp"))
 
 
-def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = 7, held: int = 2, **blocks) -> DataFrame:
+def _scored(block: pa.Table, got: pa.Table) -> pa.Table:
+    """Sums of each text of a block by the answers; and a last row with the block's share of the training words."""
+    is_word = pc.is_valid(got["word"])
+    words, found = got.filter(is_word), got.filter(pc.invert(is_word))
+    order = np.argsort(found["gram"].to_numpy())
+    keys, logs = found["gram"].to_numpy()[order], found["logp"].to_numpy()[order]
+    known = pa.concat_arrays(words["word"].chunks) if words.num_rows else pa.array([], pa.binary())
+    c, first = words["c"].to_numpy(), words["first"].to_numpy()
+    out: dict[str, list] = {"doc_id": [], "held_out": [], "n_words": [], "n_known": [], "logs": [], "score": []}
+    sums = lambda values, owner, size: np.bincount(owner, values, size)
+    for rows, texts in chunks(block, AT_ONCE):
+        ws, lengths, joined = words_of(texts)
+        own = c[pc.index_in(ws, known).to_numpy()] if len(ws) else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(texts)), lengths)
+        out["doc_id"] += rows["doc_id"].to_pylist()
+        out["held_out"] += rows["held_out"].to_pylist()
+        out["n_words"] += lengths.tolist()
+        out["n_known"] += sums(own > 0, owner, len(texts)).astype(np.int64).tolist()
+        out["logs"] += sums(np.log10(own + 1.0), owner, len(texts)).tolist()
+        for _, places, begins in grams(joined):
+            out["score"] += np.add.reduceat(logs[np.searchsorted(keys, places)], begins).tolist()
+    # Numbers, so that no id is lost in the last row: (training words, distinct ones) of this block's first sightings.
+    held = np.array(out["held_out"])
+    last = {"doc_id": None, "held_out": None, "n_words": int(c[first].sum()), "n_known": int((c[first] > 0).sum()), "logs": float(len(held) - held.sum()), "score": None}
+    kinds = {"doc_id": block.schema.field("doc_id").type, "held_out": pa.bool_(), "n_words": pa.int64(), "n_known": pa.int64(), "logs": pa.float64(), "score": pa.float64()}
+    return pa.table({name: pa.array([*out[name], last[name]], kind) for name, kind in kinds.items()})
+
+
+def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = 7, held: int = 2, block_bytes: int = BLOCK_BYTES, **options) -> DataFrame:
     """A row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     A to Z in lower case; tokens are the words between white space and one end. Trained on the rows whose crc32(doc_id as
     text) mod divisor is not held. base_score: sum of log10((c + 1) / (N + V + 1)); score: log10 probability by the suffix
     tree. Null texts count as empty (the end alone); null ids have the remainder of the empty text, 0. Repeated rows
-    count each time. Without training rows N and V are 0 and the tree is uniform.
+    count each time; other columns are not read. Without training rows N and V are 0 and the tree is uniform.
     """
     id_sql = f"`{doc_id}`"
-    packs, count = packed(docs, {"doc_id": id_sql, "text": f"cast(coalesce(`{text}`, '') as binary)", "held_out": f"crc32(cast(coalesce(cast({id_sql} as string), '') as binary)) % {divisor} = {held}"}, text, **blocks)
-    buckets, coarse = max(8, 3 * count), max(2, count // 2)
-    asked = saved(messages(packs, _count, buckets, _word))
-    texts = docs.where(remainder(F.col(doc_id), divisor) != held).count()
-
-    def merge(got: pa.Table) -> pa.Table:
-        counts: dict[bytes, int] = {}
-        for words in got["words"]:
-            rows = unpack(words.as_py())
-            for w, n in zip(rows["word"].to_pylist(), rows["n"].to_pylist()):
-                counts[w] = counts.get(w, 0) + n
-        totals: dict[bytes, int] = {}
-        for t, n in counts.items():
-            totals[_word(t)] = totals.get(_word(t), 0) + n
-        keys = list(counts)
-        return pa.table({"token": pa.array(keys, pa.binary()), "n": pa.array(list(counts.values()), pa.int64()), "c": pa.array([totals[_word(t)] for t in keys], pa.int64()), "kinds": pa.array([sum(1 for n in totals.values() if n)] + [0] * (len(keys) - 1), pa.int64()), "bucket": pa.array([got["bucket"][0].as_py()] * len(keys), pa.int32())})
-
-    words = saved(asked.groupBy("bucket").applyInArrow(merge, "token binary, n long, c long, kinds long, bucket int"))
-    seen = words.agg(F.sum("n"), F.sum("kinds")).first()
-    total, kinds = (seen[0] or 0) + texts, (seen[1] or 0) + (1 if texts else 0)
-    counts = words.select("token", "n").mapInArrow(_gram_rows, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    model = tree(counts)
-
-    # Each part of the tokens names its distinct n-grams once and gets their probabilities.
-    parts = words.select("token", "c", "bucket", F.pmod("bucket", F.lit(coarse)).alias("part"))
-
-    def grams_of(got: pa.Table) -> pa.Table:
-        keys = np.zeros(0, np.int64)
-        for _, own, _ in _slices(got["token"]):
-            keys = np.union1d(keys, own)
-        return pa.table({"part": pa.array([got["part"][0].as_py()] * len(keys), pa.int32()), "gram": pa.array(keys)})
-
-    asked_grams = parts.groupBy("part").applyInArrow(grams_of, "part int, gram long").join(model, "gram").select("part", "gram", "logp")
-
-    def price(got: pa.Table, known: pa.Table) -> pa.Table:
-        order = np.argsort(known["gram"].to_numpy())
-        ks, ps = known["gram"].to_numpy()[order], known["logp"].to_numpy()[order]
-        each = [np.add.reduceat(ps[np.searchsorted(ks, keys)], begins[:-1]) for _, keys, begins in _slices(got["token"])]
-        return pa.table({"token": got["token"].cast(pa.binary()), "c": got["c"], "bucket": got["bucket"], "logp": pa.array(np.concatenate(each) if each else np.zeros(0))})
-
-    priced = parts.groupBy("part").cogroup(asked_grams.groupBy("part")).applyInArrow(price, "token binary, c long, bucket int, logp double")
-
-    def answer(got: pa.Table, rows: pa.Table) -> pa.Table:
-        at = {w: i for i, w in enumerate(rows["token"].to_pylist())}
-        values, out = rows.select(["c", "logp"]), []
-        for block, own in zip(got["block"].to_pylist(), got["words"]):
-            place = pa.array([at[w] for w in unpack(own.as_py())["word"].to_pylist()], pa.int64())
-            out.append((block, pack(values.take(place))))
-        return pa.table({"block": pa.array([b for b, _ in out], pa.int32()), "bucket": pa.array([got["bucket"][0].as_py()] * len(out) if out else [], pa.int32()), "values": pa.array([x for _, x in out], pa.binary())})
-
-    answers = asked.groupBy("bucket").cogroup(priced.groupBy("bucket")).applyInArrow(answer, "block int, bucket int, values binary")
-    room, ends = total + kinds + 1, (texts + 0.5) / (total + 1)
-    on, off = float(np.log10(1 - ends)), float(np.log10(ends))
-
-    def finish(rows: pa.Table, places: list[np.ndarray], columns: list) -> pa.Table:
-        c, logp = (columns[0].to_numpy(), columns[1].to_numpy() + on) if columns else (np.zeros(0), np.zeros(0))
-        known, base = (c > 0).astype(np.int64), np.log10((c + 1) / room)
-        return pa.table(
-            {
-                "doc_id": rows["doc_id"],
-                "held_out": rows["held_out"],
-                "n_tokens": pa.array([len(p) + 1 for p in places], pa.int64()),
-                "n_known": pa.array([int(known[p].sum()) + (1 if texts else 0) for p in places], pa.int64()),
-                "train_tokens": pa.array([total] * len(places), pa.int64()),
-                "base_score": pa.array([float(base[p].sum() + np.log10((texts + 1) / room)) for p in places], pa.float64()),
-                "score": pa.array([float(logp[p].sum() + off) for p in places], pa.float64()),
-            }
-        )
-
+    blocks = dealt(docs, {"doc_id": id_sql, "held_out": f"crc32(cast(coalesce(cast({id_sql} as string), '') as binary)) % {divisor} = {held}"}, text, block_bytes)
+    asked = saved(blocks.groupBy("block").applyInArrow(_asked, "block int, gram long, word binary, n long"))
+    asked_grams = asked.where("gram is not null").select("block", "gram", "n")
+    model = tree(asked_grams.groupBy("gram").agg(F.sum("n").alias("n")), **options)
+
+    same = Window.partitionBy("word")
+    words = asked.where("word is not null").select("block", "word", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("block")) == 1).alias("first"))
+    told = asked_grams.join(model, "gram").selectExpr("block", "gram", "logp", "cast(null as binary) as word", "cast(null as long) as c", "cast(null as boolean) as first")
+    answers = told.unionByName(words.selectExpr("block", "cast(null as long) as gram", "cast(null as double) as logp", "word", "c", "first"))
     kind = docs.select(doc_id).schema[0].dataType.simpleString()
-    return answered(packs, answers, _tokens, finish, buckets, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", _word)
+    sums = saved(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored, f"doc_id {kind}, held_out boolean, n_words long, n_known long, logs double, score double"))
+
+    seen = sums.where("held_out is null").agg(F.sum("n_words"), F.sum("n_known"), F.sum("logs")).first()
+    texts = int(seen[2] or 0)
+    total, kinds = (seen[0] or 0) + texts, (seen[1] or 0) + (1 if texts else 0)
+    tokens = F.col("n_words") + 1
+    base = F.col("logs") + F.log10(F.lit(texts + 1.0)) - tokens * F.log10(F.lit(total + kinds + 1.0))
+    rows = sums.where("held_out is not null")
+    return rows.select("doc_id", "held_out", tokens.alias("n_tokens"), (F.col("n_known") + (1 if texts else 0)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -2,15 +2,16 @@
 
 A document is the set of its distinct shingles. Hashed into groups, its group counts are a point; the overlap of two
 documents is at most the sum of their coordinate minima, and of a document and a node of an R-tree at most the sum of
-the minima with the node's upper corner. Which documents meet in a tree follows from the same groups: documents of a size
+the minima with the node's upper corner. Which documents meet in a tree follows from groups as well: documents of a size
 level that are similar enough differ in at most k shingles, so among more than k groups some have the same shingles in
-both.
+both (a bucket).
 
 1. Documents with equal sets are one class, stood for by its smallest doc_id.
-2. Classes that share a group's content are candidates. First each is verified against one leader of its bucket only;
-   in buckets that this leaves in several components, all pairs across components go through R-trees of count vectors.
-   Large buckets are cut into blocks, and each pair of blocks is a tree join of its own.
-3. Survivors are verified on whole texts; components follow from the links.
+2. In each bucket, one leader's point is held against the others' points, and what the bound leaves is verified.
+3. Buckets that this leaves in several components get R-trees of count vectors over all their members; members outside the
+   largest component search them, what the bound leaves is verified on the spot, and links come out only where they join
+   components. Large buckets are cut into blocks, and each pair of blocks is a tree search of its own.
+4. Components follow from the links.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, saved
+from .common import bounded_batches, partitions, saved
 from .graph import components
 
-GROUPS, LEAF, BLOCK = 64, 32, 1000
+GROUPS, FAN = 64, 16
+#: Members of a leader verified together; members and shingles of a block of a bucket.
+GROUP, BLOCK, BLOCK_SHINGLES = 200, 1000, 1_000_000
 #: Rows up to which a table of ids (two or three longs a row) is broadcast; larger ones are joined by shuffle.
 SMALL = 200_000
 UPPER = bytes(range(65, 91))
@@ -120,88 +123,157 @@ def needed(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def tree_pairs(points: np.ndarray, sizes: np.ndarray, percent: int, left: np.ndarray, right: np.ndarray, apart: np.ndarray) -> list[tuple[int, int]]:
-    """(i, j) of left x right whose bounds allow similarity and whose apart differ. points: counts by group. The tree has one
-    level of leaves, sorted by size and then by the first counts (sort-tile-recursive); each knows its corners."""
-    order = right[np.lexsort((points[right, 1], points[right, 0], np.round(np.log(np.maximum(sizes[right], 1)) * 8)))]
-    leaves = [order[i : i + LEAF] for i in range(0, len(order), LEAF)]
-    upper = np.array([points[x].max(axis=0) for x in leaves])
-    least, most = np.array([sizes[x].min() for x in leaves]), np.array([sizes[x].max() for x in leaves])
-    out = []
+def point(shingles: np.ndarray) -> np.ndarray:
+    """The counts of a set by group."""
+    return np.bincount((shingles >> np.uint64(8)).astype(np.int64) & (GROUPS - 1), minlength=GROUPS)
+
+
+class CountTree:
+    """An R-tree of count vectors, packed level by level: points sorted by size and first counts, FAN to a node, FAN nodes
+    to a node above, up to one root. A node knows its upper corner and its least and greatest size."""
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray):
+        self.order = np.lexsort((points[:, 1], points[:, 0], np.round(np.log(np.maximum(sizes, 1)) * 8)))
+        self.levels = [(points[self.order], sizes[self.order], sizes[self.order])]
+        while len(self.levels[-1][1]) > 1:
+            upper, least, most = self.levels[-1]
+            begins = np.arange(0, len(least), FAN)
+            self.levels.append((np.maximum.reduceat(upper, begins), np.minimum.reduceat(least, begins), np.maximum.reduceat(most, begins)))
+
+    def near(self, at: np.ndarray, n: int, percent: int) -> np.ndarray:
+        """The points that can be similar to one of n elements, as far as sizes and summed minima tell."""
+        nodes = np.zeros(1, np.int64)
+        for k in range(len(self.levels) - 1, -1, -1):
+            upper, least, most = self.levels[k]
+            low, high = np.maximum(least[nodes], -(-percent * n // 100)), most[nodes]
+            bound = np.minimum(upper[nodes], at).sum(axis=1)
+            nodes = nodes[(low <= high) & (100 * n >= percent * low) & (bound >= needed(n, low, percent))]
+            if k:
+                nodes = (nodes[:, None] * FAN + np.arange(FAN)).reshape(-1)
+                nodes = nodes[nodes < len(self.levels[k - 1][1])]
+        return self.order[nodes]
+
+
+def overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many elements of the sorted set `one` each of the other sets has."""
+    every = np.concatenate(others)
+    found = one[np.minimum(np.searchsorted(one, every), len(one) - 1)] == every
+    return np.add.reduceat(found.astype(np.int64), np.cumsum([0, *map(len, others[:-1])]))
+
+
+def spanning_links(sets: list[np.ndarray], labels: list, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs (i, j) of left x right that are similar, as many as join what the labels (components) hold apart: after them,
+    any two similar rows are connected."""
+    sizes = np.array([len(x) for x in sets])
+    points = np.array([point(x) for x in sets])
+    tree, up, out = CountTree(points[right], sizes[right]), {}, []
+
+    def root(x):
+        while up.get(x, x) != x:
+            up[x] = x = up.get(up[x], up[x])
+        return x
+
     for i in left:
-        n = sizes[i]
-        may = (100 * np.minimum(n, most) >= percent * np.maximum(n, least)) & (np.minimum(points[i], upper).sum(axis=1) >= needed(n, np.maximum(least, -(-percent * n // 100)), percent))
-        for x in np.flatnonzero(may):
-            own = leaves[x]
-            own = own[(apart[own] != apart[i]) & (np.minimum(points[i], points[own]).sum(axis=1) >= needed(n, sizes[own], percent))]
-            out += [(int(i), int(j)) for j in own]
+        own = root(labels[i])
+        near = [int(j) for j in right[tree.near(points[i], int(sizes[i]), percent)] if root(labels[j]) != own]
+        for start in range(0, len(near), FAN * FAN):
+            some = near[start : start + FAN * FAN]
+            both = overlaps(sets[i], [sets[j] for j in some])
+            for j in np.array(some)[100 * both >= percent * (sizes[i] + sizes[some] - both)].tolist():
+                x, y = root(labels[i]), root(labels[j])
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    out.append((int(i), j))
     return out
 
 
 def _features(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in batches:
-            n, c1, c2, sigs, points = [], [], [], [], []
+            n, c1, c2, sigs = [], [], [], []
             for raw in batch.column(1):
                 s = shingler(raw.as_py())
                 n.append(len(s))
                 mixed = _mix(s + C)
-                c1.append(int(s.sum(dtype=np.uint64).astype(np.int64)))
-                c2.append(int(mixed.sum(dtype=np.uint64).astype(np.int64)))
+                c1.append(total(s))
+                c2.append(total(mixed))
                 sigs.append(signatures(s, percent, mixed).astype(np.int64))
-                points.append(np.bincount((s >> np.uint64(8)).astype(np.int64) & (GROUPS - 1), minlength=GROUPS).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(points, pa.binary())], names=["doc_id", "n", "c1", "c2", "sigs", "point"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], names=["doc_id", "n", "c1", "c2", "sigs"])
 
-    return rows.mapInArrow(of, "doc_id long, n long, c1 long, c2 long, sigs array<long>, point binary")
+    return rows.mapInArrow(of, "doc_id long, n long, c1 long, c2 long, sigs array<long>")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar, on whole texts. A text b that many pairs name is dealt over salts."""
-    salts = 4 * partitions(docs.sparkSession)
-    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int"))
-    roles = saved(pairs.select(F.col("a").alias("id"), "b", "salt").union(pairs.select(F.col("b").alias("id"), "b", "salt")).distinct())
-    small = roles.count() <= SMALL
-    texts = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    rows = texts.join(F.broadcast(roles) if small else roles, "id")
+def total(shingles: np.ndarray) -> int:
+    return int(shingles.sum(dtype=np.uint64).astype(np.int64))
 
-    def of(got: pa.Table) -> pa.Table:
-        shingler = Shingler(width)
-        b, ids = got["b"][0].as_py(), got["id"].to_pylist()
-        sets = {}
-        lead = shingler(got["text"][ids.index(b)].as_py()) if b in ids else np.zeros(0, np.uint64)
-        for i, raw in zip(ids, got["text"]):
-            if i != b and i not in sets:
-                s = shingler(raw.as_py())
-                both = len(np.intersect1d(lead, s, assume_unique=True))
-                sets[i] = 100 * both >= percent * (len(lead) + len(s) - both) > 0
-        found = [i for i, ok in sets.items() if ok]
-        return pa.table({"a": pa.array(found, pa.int64()), "b": pa.array([b] * len(found), pa.int64())})
 
-    return saved(rows.groupBy("b", "salt").applyInArrow(of, "a long, b long"))
+def _texts(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """wanted (with a column id) with the texts of those ids. Few are broadcast, more are joined by shuffle."""
+    small = wanted.count() <= SMALL
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    return texts.join(F.broadcast(wanted) if small else wanted, "id")
 
 
-def _across(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of members (sig, rep, component, n, point) of one bucket but different components, as the trees leave them.
-    Buckets of two are left out: their one pair is that of member and leader."""
-    sizes = members.groupBy("sig").agg(F.count("*").alias("n_members"), F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x2")).where("low <> high and n_members > 2")
-    # Similar documents share most of their groups: of buckets with the same members (by 128 bits), one is enough.
-    sizes = sizes.groupBy("n_members", "x1", "x2").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("n_members") / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(sizes, "sig").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "component", "n", "point")
+def _led(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
+    """Of the pairs (a, own_a, b, own_b) of a member and its leader, with their classes, the similar ones (a, b), on whole
+    texts. A leader of many members is dealt over salts, GROUP members each."""
+    many = pairs.groupBy("own_b").agg(F.ceil(F.count("*") / GROUP).alias("salts"))
+    salted = pairs.join(many, "own_b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
+    roles = saved(salted.select(F.col("a").alias("id"), F.col("own_a").alias("own"), "own_b", "salt").union(salted.select("b", "own_b", "own_b", "salt")).distinct())
 
     def of(got: pa.Table) -> pa.Table:
-        points = np.frombuffer(b"".join(got["point"].to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
-        reps, own, x, y = got["rep"].to_numpy(), got["own"].to_numpy(), got["x"][0].as_py(), got["y"][0].as_py()
-        pairs = tree_pairs(points, got["n"].to_numpy(), percent, np.flatnonzero(own == x), np.flatnonzero(own == y), got["component"].to_numpy())
-        both = {(max(reps[i], reps[j]), min(reps[i], reps[j])) for i, j in pairs if reps[i] != reps[j]}
-        return pa.table({"a": pa.array([a for a, _ in both], pa.int64()), "b": pa.array([b for _, b in both], pa.int64())})
+        shingler, leader = Shingler(width), got["own_b"][0].as_py()
+        sets: dict[int, np.ndarray] = {}
+        ids: dict[int, int] = {}
+        for i, own, raw in zip(got["id"].to_pylist(), got["own"].to_pylist(), got["text"]):
+            s = shingler(raw.as_py())
+            if total(s) == own:  # another text of the same id is another class
+                sets[own], ids[own] = s, i
+        lead, found = sets.pop(leader, np.zeros(0, np.uint64)), []
+        at = point(lead)
+        near = [x for x, s in sets.items() if np.minimum(at, point(s)).sum() >= needed(len(lead), len(s), percent)]
+        if near and len(lead):
+            both = overlaps(lead, [sets[x] for x in near])
+            found = [ids[x] for x, o in zip(near, both.tolist()) if 100 * o >= percent * (len(lead) + len(sets[x]) - o)]
+        return pa.table({"a": pa.array(found, pa.int64()), "b": pa.array([ids.get(leader)] * len(found), pa.int64())})
+
+    return saved(_texts(docs, roles, doc_id, text).groupBy("own_b", "salt").applyInArrow(of, "a long, b long"))
+
+
+def _across(docs: DataFrame, members: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of members (sig, rep, own, component, n) of one bucket, whose largest one is
+    searched but does not search. Buckets of two are left out: their one pair is that of member and leader."""
+    held = members.groupBy("sig", "component").agg(F.count("*").alias("held"), F.sum("n").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x2"))
+    sizes = held.groupBy("sig").agg(F.sum("held").alias("n_members"), F.sum("size").alias("n_size"), F.max(F.struct("held", "size", "component")).alias("top"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2")).where("n_members > top.held and n_members > 2")
+    # Similar documents share most of their groups: of buckets with the same members (by 128 bits), one is enough.
+    cut = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+    kept = sizes.groupBy("n_members", "x1", "x2").agg(F.min(F.struct("sig", "n_size", "top")).alias("of"))
+    kept = kept.select("of.sig", F.col("of.top.component").alias("top"), cut(F.col("n_members") - F.col("of.top.held"), F.col("of.n_size") - F.col("of.top.size")).alias("xs"), cut(F.col("n_members"), F.col("of.n_size")).alias("ys"))
+    rows = members.join(kept, "sig").withColumn("outer", F.col("component") != F.col("top"))
+    rows = rows.withColumn("x0", F.pmod(F.xxhash64("rep"), F.col("xs")).cast("int")).withColumn("y0", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("ys")).cast("int"))
+    searched = F.transform(F.sequence(F.lit(0), F.col("xs") - 1), lambda x: F.struct(x.alias("x"), F.col("y0").alias("y"), (F.col("outer") & (x == F.col("x0"))).alias("left"), F.lit(True).alias("right")))
+    searching = F.transform(F.filter(F.sequence(F.lit(0), F.col("ys") - 1), lambda y: F.col("outer") & (y != F.col("y0"))), lambda y: F.struct(F.col("x0").alias("x"), y.alias("y"), F.lit(True).alias("left"), F.lit(False).alias("right")))
+    tasks = rows.select("sig", "rep", "own", "component", F.explode(F.concat(searched, searching)).alias("at")).select("sig", F.col("rep").alias("id"), "own", "component", "at.*")
 
-    # The key spreads the pairs of blocks of one signature over tasks; by sig itself they would stay where the join left
-    # them. Signatures of equal keys are treated together, which adds candidates at most.
-    return rows.withColumn("key", F.xxhash64("sig", "x", "y")).groupBy("key", "x", "y").applyInArrow(of, "a long, b long").distinct()
+    def of(got: pa.Table) -> pa.Table:
+        shingler, sets, at = Shingler(width), [], []
+        for k, (own, raw) in enumerate(zip(got["own"].to_pylist(), got["text"])):
+            s = shingler(raw.as_py())
+            if total(s) == own:
+                sets.append(s)
+                at.append(k)
+        place = np.array(at, np.int64)
+        left, right = (np.flatnonzero(got[side].to_numpy()[place]) if len(place) else place for side in ("left", "right"))
+        ids, labels = got["id"].to_numpy(), got["component"].to_numpy()[place].tolist() if len(place) else []
+        links = spanning_links(sets, labels, left, right, percent) if len(left) and len(right) else []
+        return pa.table({"a": pa.array([int(ids[at[i]]) for i, _ in links], pa.int64()), "b": pa.array([int(ids[at[j]]) for _, j in links], pa.int64())})
+
+    # The key spreads the pairs of blocks of one signature over tasks. Signatures of equal keys are treated together.
+    keyed = saved(tasks.withColumn("key", F.xxhash64("sig", "x", "y")))
+    return saved(_texts(docs, keyed, doc_id, text).groupBy("key", "x", "y").applyInArrow(of, "a long, b long"))
 
 
 def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
@@ -210,31 +282,29 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
 
     A to Z in lower case; words between ASCII white space; fewer words than `width` are one shingle, none an empty set
     that links with nothing (its component is itself). Linked when 100 * intersection >= percent * union. Null texts
-    count as empty; rows with a null doc_id get a component only through equal sets; repeated rows repeat. doc_id is
-    a whole number. Extra columns are not read.
+    count as empty; rows with a null doc_id get a component only through equal sets; repeated rows repeat; rows of one
+    doc_id and different texts are judged each by its own text. doc_id is a whole number. Extra columns are not read.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = saved(_features(docs, doc_id, text, width, percent))
     salted = rows.where("n > 0").groupBy("c1", "c2", "n", F.pmod(F.xxhash64("doc_id"), F.lit(4 * partitions(spark))).cast("int").alias("salt")).agg(F.min("doc_id").alias("rep"))
     classes = saved(salted.groupBy("c1", "c2", "n").agg(F.min("rep").alias("rep"), F.collect_set("salt").alias("salts")))
 
-    named = classes.where("rep is not null").select("c1", "rep", "n")
+    named = classes.where("rep is not null").select(F.col("c1").alias("own"), "rep", "n")
     # Of a class only its representative is looked up, so copies, however many, put one row in a bucket.
-    bags = rows.join(named.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("c1", F.explode("sigs").alias("sig"))
-    shared = saved(bags.groupBy("sig").agg(F.min("c1").alias("lead"), F.max("c1").alias("last")).where("lead <> last").select("sig", "lead"))
-    members = saved(bags.join(shared, "sig").distinct().join(named, "c1").select("sig", "lead", "rep", "n"))
-    leads = named.select(F.col("c1").alias("lead"), F.col("rep").alias("lead_rep"), F.col("n").alias("lead_n"))
-    first = saved(members.select("lead", F.col("rep"), "n").distinct().join(leads, "lead").where((F.col("rep") != F.col("lead_rep")) & (100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n"))).select(F.col("rep").alias("a"), F.col("lead_rep").alias("b")))
-    links = _verified(docs, first, doc_id, text, width, percent)
+    chosen = named.select(F.col("rep").alias("doc_id"), F.col("own").alias("c1"))
+    bags = rows.join(chosen, ["doc_id", "c1"], "left_semi").select(F.col("c1").alias("own"), F.explode("sigs").alias("sig"))
+    shared = saved(bags.groupBy("sig").agg(F.min("own").alias("lead"), F.max("own").alias("last")).where("lead <> last").select("sig", "lead"))
+    members = saved(bags.join(shared, "sig").distinct().join(named, "own").select("sig", "lead", "own", "rep", "n"))
+    leads = named.select(F.col("own").alias("lead"), F.col("rep").alias("b"), F.col("n").alias("lead_n"))
+    close = (F.col("own") != F.col("lead")) & (100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n"))
+    first = members.select("lead", "own", "rep", "n").distinct().join(leads, "lead").where(close)
+    links = _led(docs, saved(first.select(F.col("rep").alias("a"), F.col("own").alias("own_a"), "b", F.col("lead").alias("own_b"))), doc_id, text, width, percent)
 
     found = components(links).withColumnRenamed("node", "rep")
-    points = rows.select(F.col("doc_id").alias("rep"), "point").join(members.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"])
-    told = members.select("sig", "rep", "n").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    again = told.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n_members")).where("low <> high and n_members > 2").select("sig")
-    open_members = told.join(again, "sig", "left_semi").join(points, "rep")
-    tried = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more = _across(open_members, percent).join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(_verified(docs, more, doc_id, text, width, percent))
+    told = saved(members.select("sig", "own", "rep", "n").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    links = links.unionByName(_across(docs, told, doc_id, text, width, percent))
 
     last = components(links).withColumnRenamed("node", "rep")
     whole = classes.join(last, "rep", "left").select("c1", "c2", "n", F.explode("salts").alias("salt"), F.coalesce("component", "rep").alias("component_id"))

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .word_scores import LOWER, training_rows, word_sums
+from .word_scores import LOWER, training_rows, whole_sums, word_sums
 
 ORDER = 5  # symbols of an n-gram
 START, STOP = 1, 2
@@ -131,11 +131,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     return ratios, _logistic(_features(sums[:, 0], sums[:, 1]), got["label"].to_numpy().astype(float)).tolist()
 
 
+def _score(weights: list[float]) -> Column:
+    n = F.greatest(F.col("sums")[1], F.lit(1.0))
+    margin = weights[0] * 10 * F.col("sums")[0] / n + weights[1] * F.col("sums")[0] / F.sqrt(n) + weights[2]
+    return 1 / (1 + F.exp(-margin))
+
+
 def scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", keep: dict | None = None, **options) -> DataFrame:
     """A row per row of docs: doc_id, score (probability of toxic, 0 to 1) and the kept columns. Empty and null texts have
-    the score of no evidence. Whole texts are read, and only text and label are used; repeated rows score alike."""
+    the score of no evidence. Whole texts are read, and only text and label are used; repeated rows score alike, an empty
+    table gives an empty result."""
     ratios, weights = fit(docs, labels, label, doc_id, text, **options)
     sums = word_sums(docs, ratios, F.col(doc_id), F.col(text), True, 2, keep)
-    n = F.greatest(F.col("sums")[1], F.lit(1.0))
-    margin = weights[0] * 10 * F.col("sums")[0] / n + weights[1] * F.col("sums")[0] / F.sqrt(n) + weights[2]
-    return sums.select("doc_id", (1 / (1 + F.exp(-margin))).alias("score"), *(keep or {}))
+    return sums.select("doc_id", _score(weights).alias("score"), *(keep or {}))
+
+
+def below(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs whose score is under the threshold, with all their columns, whatever their names."""
+    ratios, weights = fit(docs, labels, label, doc_id, text, **options)
+    sums = whole_sums(docs, ratios, text, True, 2)
+    return sums.where(_score(weights) < threshold).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

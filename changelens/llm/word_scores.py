@@ -8,11 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import remainder
+from .common import bounded_batches, remainder
 
 #: Distinct words that a task keeps before it starts afresh, and bytes of text that it treats at once.
-KEPT_WORDS, AT_ONCE = 300_000, 4 << 20
+KEPT_WORDS, AT_ONCE = 300_000, 2 << 20
 UPPER = bytes(range(65, 91))
 LOWER = bytes.maketrans(UPPER, UPPER.lower())
 
@@ -28,22 +29,34 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, t
 
 
 def word_sums(docs: DataFrame, values: Callable[[list[bytes]], np.ndarray], doc_id: Column, text: Column, lower: bool, width: int, keep: dict[str, Column] | None = None) -> DataFrame:
-    """doc_id, n_words, sums (array of `width` doubles) and the kept columns of each row: values(words) gives a row a
-    word. Words are split at ASCII white space; null texts count as empty. Each distinct word is valued once a task."""
-    kept, names = keep or {}, list(keep or {})
-    rows = docs.select(doc_id.alias("doc_id"), F.coalesce(text, F.lit("")).cast("binary").alias("text"), *[c.alias(n) for n, c in kept.items()])
+    """doc_id, the kept columns, n_words and sums (array of `width` doubles) of each row: values(words) gives a row a word.
+    Words are split at ASCII white space; null texts count as empty. Each distinct word is valued once a task."""
+    rows = docs.select(text.alias("_text"), doc_id.alias("doc_id"), *[c.alias(n) for n, c in (keep or {}).items()])
+    return _summed(rows, 0, False, values, lower, width)
+
+
+def whole_sums(docs: DataFrame, values: Callable[[list[bytes]], np.ndarray], text: str, lower: bool, width: int) -> DataFrame:
+    """All columns of docs by place (c0, c1, ...), n_words and sums: texts go to Python and back once."""
+    rows = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return _summed(rows, docs.columns.index(text), True, values, lower, width)
+
+
+def _summed(rows: DataFrame, at: int, whole: bool, values: Callable[[list[bytes]], np.ndarray], lower: bool, width: int) -> DataFrame:
+    bounded_batches(rows.sparkSession)
+    kept = [f for k, f in enumerate(rows.schema.fields) if whole or k != at]
+    names = [*[f.name for f in kept], "n_words", "sums"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         table = np.zeros((0, width))
         for batch in batches:
             counts, sums = [], []
-            texts = batch.column(1)
+            texts = batch.column(at).cast(pa.binary())
             start = 0
             while start < len(texts):
                 lists, size = [], 0
                 while start + len(lists) < len(texts) and (not lists or size < AT_ONCE):
-                    raw = texts[start + len(lists)].as_py()
+                    raw = texts[start + len(lists)].as_py() or b""
                     size += len(raw)
                     lists.append((raw.translate(LOWER) if lower else raw).split())
                 start += len(lists)
@@ -58,7 +71,8 @@ def word_sums(docs: DataFrame, values: Callable[[list[bytes]], np.ndarray], doc_
                     sums.append(table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(axis=0))
             flat = np.array(sums).reshape(-1)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, width), pa.int32()), pa.array(flat, pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), lists, *batch.columns[2:]], names=["doc_id", "n_words", "sums", *names])
+            columns = [c for k, c in enumerate(batch.columns) if whole or k != at]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), lists], names=names)
 
-    schema = ", ".join([f"doc_id {rows.schema['doc_id'].dataType.simpleString()}", "n_words long", "sums array<double>", *[f"{n} {rows.schema[n].dataType.simpleString()}" for n in kept]])
-    return rows.mapInArrow(of, schema)
+    added = StructType.fromDDL("n_words long, sums array<double>")
+    return rows.mapInArrow(of, StructType([*kept, *added.fields]))

@@ -12,32 +12,39 @@ from changelens.llm.common import shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under 0.7."""
-    row = F.struct(*[F.col(c) for c in docs.columns])
-    out = toxicity.scores(docs, table(spark, sf_dir, "labels"), keep={"row": row})
-    return out.where("score < 0.7").select("row.*")
+    """Documents whose toxicity score is under 0.7; null and empty texts have the score of no evidence."""
+    return toxicity.below(docs, table(spark, sf_dir, "labels"), 0.7)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts: of most code points, then of the smallest id (null ids last)."""
     return exact_dedup.deduplicate(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one whose id is its component's."""
+    """One document of each group: the one whose id is its component's. Documents without an id or words stay."""
     return shingle_join.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark; null and empty texts stay."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, and whether decoding gives the text back."""
-    out = bpe.decode(bpe.encode(docs))
-    return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
-
-
-STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("ngram_jaccard_join", drop_near_copies), ("decontamination", drop_leaks), ("bpe", tokenise)]
+    out = bpe.round_trip(docs)
+    digest = F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), digest)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("bpe", tokenise),
+]
 
 #: Learnt scores, latent retrieval and token ids have no SQL form.
 ORACLE_SQL = None

@@ -21,18 +21,21 @@ from .common import bounded_batches
 LEAST = 12
 
 
-def dealt(docs: DataFrame, columns: dict[str, str], text: str, block_bytes: int, least: int = LEAST) -> DataFrame:
+def text_bytes(docs: DataFrame, text: str) -> int:
+    return docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0
+
+
+def dealt(docs: DataFrame, columns: dict[str, str], text: str, size: int, block_bytes: int, least: int = LEAST) -> DataFrame:
     """(block int, the columns, z binary): each row's block and its compressed text; null texts count as empty. columns: SQL
-    of what is kept of each row. Repeated rows are spread as well: the place of a row in its partition is hashed too."""
+    of what is kept of each row; size: bytes of all texts. Repeated rows are spread as well: the place of a row in its partition is hashed too."""
     bounded_batches(docs.sparkSession)
-    size = docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0
     count = max(least, -(-size // block_bytes))
     place = F.xxhash64(*[F.expr(sql) for sql in columns.values()], F.monotonically_increasing_id())
     kept = [F.expr(sql).alias(name) for name, sql in columns.items()]
     rows = docs.select(F.pmod(place, F.lit(count)).cast("int").alias("block"), *kept, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("z"))
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = zstandard.ZstdCompressor(level=3)
+        tool = zstandard.ZstdCompressor(level=5)
         for batch in batches:
             small = pa.array([tool.compress(x.as_py()) for x in batch.column(batch.num_columns - 1)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], small], names=batch.schema.names)

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import chunks, dealt
+from .blocks import chunks, dealt, text_bytes
 from .common import saved
 
 DEPTH = 5  # context symbols
@@ -30,7 +30,7 @@ START, END = 0xFE, 0xFF  # bytes that no UTF-8 text has
 UPPER = bytes(range(65, 91))
 LOWER = bytes.maketrans(UPPER, UPPER.lower())
 #: Bytes of a block's text; of texts whose words are looked up at once; symbols whose n-grams are made at once.
-BLOCK_BYTES, AT_ONCE, SLICE = 64 << 20, 8 << 20, 1 << 20
+BLOCK_BYTES, AT_ONCE, SLICE = 32 << 20, 2 << 20, 1 << 19
 
 
 def words_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, pa.Array]:
@@ -77,7 +77,7 @@ class Counts:
         distinct, n = np.unique(keys, return_counts=True)
         self.parts.append((distinct, n * weight))
         self.held += len(distinct)
-        if self.held > 2_000_000:
+        if self.held > 1_000_000:
             self.parts = [self.total()]
             self.held = 0  # what stays is merged again only after as many more
 
@@ -179,7 +179,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor:
     count each time; other columns are not read. Without training rows N and V are 0 and the tree is uniform.
     """
     id_sql = f"`{doc_id}`"
-    blocks = dealt(docs, {"doc_id": id_sql, "held_out": f"crc32(cast(coalesce(cast({id_sql} as string), '') as binary)) % {divisor} = {held}"}, text, block_bytes)
+    blocks = dealt(docs, {"doc_id": id_sql, "held_out": f"crc32(cast(coalesce(cast({id_sql} as string), '') as binary)) % {divisor} = {held}"}, text, text_bytes(docs, text), block_bytes)
     asked = saved(blocks.groupBy("block").applyInArrow(_asked, "block int, gram long, word binary, n long"))
     asked_grams = asked.where("gram is not null").select("block", "gram", "n")
     model = tree(asked_grams.groupBy("gram").agg(F.sum("n").alias("n")), **options)

@@ -27,6 +27,11 @@ def content(raw: Column) -> Column:
     return F.substring(raw, 2, 1 << 30)
 
 
+def stripped(text: Column) -> Column:
+    """text without white space (Unicode's) at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def split_lines(text: Column) -> Column:
     """Lines without their ends; a final line end opens no further line, and an empty text has none."""
     cut = F.split(F.regexp_replace(text, r"\r?\n\z", ""), r"\r?\n", -1)
@@ -91,7 +96,8 @@ def secrets_in_diff(lines: DataFrame, found: list[tuple[str, str]] = SECRETS) ->
 
 
 def conflicts(lines: DataFrame) -> DataFrame:
-    """Whether added lines of a changeset hold conflict markers, leaving out tests, docs and examples."""
-    aside = F.exists(F.split("path", "/"), lambda p: p.isin("tests", "docs", "examples")) | F.col("path").contains("test")
-    marker = content(F.col("raw")).rlike(r"^(<<<<<<<|=======|>>>>>>>)")
+    """Whether added lines of a changeset hold an outer conflict marker anywhere, leaving out files of which a part of the
+    path is tests, docs or examples or holds "test"."""
+    aside = F.exists(F.split("path", "/"), lambda p: p.isin("tests", "docs", "examples") | p.contains("test"))
+    marker = F.col("raw").contains("<" * 7) | F.col("raw").contains(">" * 7)
     return lines.groupBy("changeset_id").agg(F.bool_or(added(F.col("raw")) & ~aside & marker).alias("has_conflicts"))

@@ -29,13 +29,15 @@ def scopes(subjects: DataFrame, most: int = 10) -> DataFrame:
 
 
 def style(subjects: DataFrame, least: int = LEAST) -> DataFrame:
-    """Of repositories with enough subjects: average length in bytes (whole number), whether lower case is usual (0.8 of the
-    conventional ones' texts), and the share of conventional subjects."""
+    """Of repositories with enough subjects: average length in bytes (whole number), whether lower case is usual (0.8 of all
+    subjects begin with a lower-case letter, conventional ones after their prefix), and the share of conventional ones."""
     rows = parsed(subjects)
-    good = F.col("type").isNotNull()
-    first = F.substring("text", 1, 1)
-    out = rows.groupBy("repo").agg(F.count("*").alias("n"), F.floor(F.sum(F.octet_length("subject")) / F.count("*")).alias("avg_length"), F.count_if(good).alias("n_good"), F.count_if(good & (first == F.lower(first))).alias("n_low"))
-    return out.where(F.col("n") >= least).select("repo", "n", "avg_length", (F.col("n_low") >= 0.8 * F.col("n_good")).alias("lower_case"), F.round(F.col("n_good") / F.col("n"), 6).alias("conventional_ratio"))
+    low = F.coalesce("text", "subject").rlike(r"^\p{IsLowercase}")
+    n, good = F.count("*"), F.count_if(F.col("type").isNotNull())
+    length = F.floor(F.sum(F.octet_length("subject")) / n)
+    out = rows.groupBy("repo").agg(n.alias("n"), length.alias("avg_length"), good.alias("n_good"), F.count_if(low).alias("n_low")).where(F.col("n") >= least)
+    ratio = F.round(F.col("n_good") / F.col("n"), 6)
+    return out.select("repo", "n", "avg_length", (10 * F.col("n_low") >= 8 * F.col("n")).alias("lower_case"), ratio.alias("conventional_ratio"))
 
 
 def samples(subjects: DataFrame, most: int = 5) -> DataFrame:

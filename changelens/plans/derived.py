@@ -42,7 +42,7 @@ SUBJECT = """case event_type when 'signup' then concat('feat(u', cast(user_id %
   else 'yolo: purchase' end"""
 
 RESPONSE = """concat(case when turn % 2 = 0 then '<think>plan</think>' else 'Here is the commit message: ' end, '{{"type":"',
-  case conv_id % 3 when 0 then 'feat' when 1 then 'Fix' else 'yolo' end, '","scope":"a b","subject":"', substring(regexp_replace(text, '[^A-Za-z ]', ''{g}), 1, 60), '.","body":null}}')"""
+  case conv_id % 3 when 0 then 'feat' when 1 then 'Fix' else 'yolo' end, '","scope":"a b","subject":"', regexp_replace(text, '[^A-Za-z ]', ''{g}), '.","body":null}}')"""
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:

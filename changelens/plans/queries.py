@@ -132,7 +132,7 @@ def safety_first_pattern(spark, d):
 
 @query
 def safety_conflicts(spark, d):
-    return diffs.conflicts(D.lines(spark, d).withColumn("raw", F.when(F.col("line_no") % 17 == 3, F.lit("+======= x")).otherwise(F.col("raw"))))
+    return diffs.conflicts(D.lines(spark, d).withColumn("raw", F.when(F.col("line_no") % 17 == 3, F.lit("+======= x")).when(F.col("line_no") % 23 == 5, F.lit("+  <<<<<<< x")).otherwise(F.col("raw"))))
 
 
 @query
@@ -185,12 +185,12 @@ def ev_bug(spark, d):
 
 @query
 def ev_mechanical(spark, d):
-    return evidence.mechanical(counted(spark, d), D.symbols(spark, d).where("changeset_id < 'src15'"))
+    return evidence.mechanical(counted(spark, d), D.symbols(spark, d))
 
 
 @query
 def ev_dependency_only(spark, d):
-    return evidence.dependency_only(D.files(spark, d).where("path like '%.toml' or path like '%.yml' or changeset_id > 'src15'"))
+    return evidence.dependency_only(D.files(spark, d))
 
 
 @query
@@ -220,7 +220,7 @@ def ev_test_correlation(spark, d):
 
 @query
 def ev_primary_change(spark, d):
-    return evidence.primary_change(counted(spark, d), D.symbols(spark, d).where("changeset_id < 'src15'"))
+    return evidence.primary_change(counted(spark, d), D.symbols(spark, d))
 
 
 @query
@@ -334,7 +334,7 @@ def msg_first_line(spark, d):
 
 @query
 def msg_clean_text(spark, d):
-    text = F.concat(F.lit("Suggested commit: "), F.when(F.col("turn") % 2 == 0, "feat: ").otherwise("hello: "), F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 40))
+    text = F.concat(F.lit("Suggested commit: "), F.when(F.col("turn") % 2 == 0, "feat: ").otherwise("hello: "), F.regexp_replace("text", "[^A-Za-z ]", ""))
     return D.table(spark, d, "conversations").select("conv_id", "turn", messages.clean_text(text).alias("cleaned"))
 
 

@@ -65,10 +65,10 @@ s as (select *, first_value({head(1)}) over w as o, first_value({head(3)}) over
 numbered as (select *, (o::bigint + so)::bigint as old_line, (n::bigint + sn)::bigint as new_line from s where not {HEAD})
 """
 SPACED = NUMBERED.replace("{both}", "raw like ' %'")
-PRINTS = f"""{CTE}, shape as (select changeset_id, file_idx, count(*) filter ({PLUS}) as added, count(*) filter ({MINUS}) as removed, count(*) filter ({HEAD}) as hunks from lines group by all),
-t as (select changeset_id, file_idx, {BODY} as body, trim({BODY}) as bare, {PLUS} as plus, {MINUS} as minus from lines where trim({BODY}) <> ''),
+PRINTS = f"""{CTE}, shape as (select changeset_id, file_idx, count(*) filter ({PLUS}) as added, count(*) filter ({MINUS}) as removed, count(*) filter (raw like '@@%') as hunks from lines group by all),
+t as (select changeset_id, file_idx, {BODY} as body, trim({BODY}) as bare, {PLUS} as plus, {MINUS} as minus from lines where {PLUS} or {MINUS}),
 ind as (select changeset_id, file_idx, count(*) as indented from t where plus and exists (select 1 from t g where g.minus and g.changeset_id = t.changeset_id and g.file_idx = t.file_idx and g.bare = t.bare and g.body <> t.body) group by all),
-prints as (select changeset_id, file_idx, added, removed, hunks, round(added / greatest(added + removed, 1), 6) as balance, round(coalesce(indented, 0) * 2 / greatest(added + removed, 1), 6) as indent_ratio from shape left join ind using (changeset_id, file_idx))
+prints as (select changeset_id, file_idx, added, removed, hunks, case when added + removed = 0 then 1.0::double else least(added, removed) / greatest(added, removed) end as balance, case when added = 0 then 0.0::double else coalesce(indented, 0) / added end as indent_ratio from shape left join ind using (changeset_id, file_idx))
 """
 SIDES = f"""{CTE}, new as (select * from symbols where is_added), old as (select * from symbols where not is_added)
 """
@@ -86,7 +86,7 @@ JSON = r"""{cte}, j as (select conv_id, turn, regexp_extract(regexp_replace(raw,
 c as (select conv_id, turn, j ->> '$.type' as type, j ->> '$.scope' as scope, j ->> '$.subject' as subject, j ->> '$.body' as body from j)
 """.format(cte=CTE)
 
-IMPORT = r"regexp_matches(substr(raw, 2), '^(use |import |from |require\(|#include)')"
+IMPORT = r"regexp_matches(substr(raw, 2), '^\s*(use |import |from |require\(|#include)')"
 TEXT = f"trim({BODY})"
 SYMBOL_TEXT = "concat(case when is_added then '[+] ' else '[-] ' end, signature, ' (', file, ':', line, ')')"
 
@@ -110,7 +110,8 @@ SQL = {
     "win_line_numbers": f"{SPACED} select changeset_id, file_idx, line_no, old_line, new_line from numbered where {PLUS}",
     "safety_secret_scan": f"{SPACED} select * from (select changeset_id, path, line_no, new_line, {SECRET.replace('{c}', BODY)} as pattern from numbered where {PLUS}) where pattern is not null",
     "safety_first_pattern": f"with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents) select * from (select doc_id, pos, {SECRET.replace('{c}', 'line')} as pattern from l) where pattern is not null",
-    "safety_conflicts": f"{CTE} select changeset_id, bool_or(case when line_no % 17 = 3 then path not like '%test%' and path not like 'docs/%' else false end) as has_conflicts from lines group by all",
+    "safety_conflicts": f"""{CTE}, planted as (select * replace (case when line_no % 17 = 3 then '+======= x' when line_no % 23 = 5 then '+  <<<<<<< x' else raw end as raw) from lines)
+      select changeset_id, bool_or({PLUS} and (contains(raw, repeat('<', 7)) or contains(raw, repeat('>', 7))) and path not like '%test%' and not regexp_matches(path, '(^|/)(docs|examples)(/|$)')) as has_conflicts from planted group by all""",
     "sym_added": f"{SIDES} select changeset_id, sym_idx, kind, name, file from new n where not exists (select 1 from old o where {MATCH})",
     "sym_removed": f"{SIDES} select changeset_id, sym_idx, kind, name, file from old o where not exists (select 1 from new n where {MATCH})",
     "sym_modified": f"{SIDES} select changeset_id, sym_idx, kind, name, file from new n where exists (select 1 from old o where {MATCH})",
@@ -123,25 +124,32 @@ SQL = {
     + f""", new as (select * from symbols where is_added), old as (select * from symbols where not is_added),
       spans as (select changeset_id, file, sym_idx, line, end_line, {FIRST_OLD.format(c='o.line')} as of_, {FIRST_OLD.format(c='o.end_line')} as ot from new n where exists (select 1 from old o where {MATCH})),
       j as (select s.changeset_id, s.sym_idx, l.file_idx, l.line_no, l.raw like '+%' as plus, regexp_replace(substr(l.raw, 2), '\\s', '', 'g') as body, trim(substr(l.raw, 2)) as t from spans s join numbered l on l.changeset_id = s.changeset_id and l.path = s.file and regexp_matches(l.raw, '^[+-]') and case when l.raw like '+%' then l.new_line between s.line and s.end_line else l.old_line between s.of_ and s.ot end),
-      k as (select *, regexp_matches(t, '^(//|#|/\\*|\\*|\"\"\"|'''''')') as doc from j),
+      k as (select *, regexp_matches(t, '^(//|/\\*\\*|\\* |\\*/|#|\"\"\")') as doc from j),
       a as (select changeset_id, sym_idx, coalesce(string_agg(body, '' order by file_idx, line_no) filter (plus), '') as x, coalesce(string_agg(body, '' order by file_idx, line_no) filter (not plus), '') as y, bool_and(doc or t = '') as alld, bool_or(doc) as sm from k group by all)
       select changeset_id, sym_idx, case when x = y then 'WhitespaceOnly' when alld and sm then 'DocsOnly' when sm then 'Mixed' else 'Semantic' end as span_change from a""",
     "ev_bug": f"{CTE} select changeset_id, bool_or({BUG}) as has_bug_evidence from lines group by all",
-    "ev_mechanical": f"{COUNTED} select changeset_id, changeset_id >= 'src15' and a + d between 1 and 80 and least(a, d) / greatest(a, d, 1) > 0.5 as is_mechanical from (select changeset_id, sum(additions) as a, sum(deletions) as d from counted group by all)",
-    "ev_dependency_only": f"{CTE} select changeset_id, bool_and({category()} in ('Config', 'Build')) as is_dependency_only from files where path like '%.toml' or path like '%.yml' or changeset_id > 'src15' group by all",
+    "ev_mechanical": f"{COUNTED} select changeset_id, not exists (select 1 from symbols s where s.changeset_id = g.changeset_id) and a + d between 1 and 80 and least(a, d) / greatest(a, d, 1) > 0.5 as is_mechanical from (select changeset_id, sum(additions) as a, sum(deletions) as d from counted group by all) g",
+    "ev_dependency_only": f"{CTE} select changeset_id, bool_and({category()} in ('Config', 'Build')) as is_dependency_only from files group by all",
     "ev_intents": f"""{CTE}, g as (select changeset_id, count(*) filter ({PLUS}) as n, count(*) filter ({PLUS} and ({_has(TEXT, V.ERROR_MARKERS)} or {TEXT} like '%?')) as e,
       count(*) filter ({PLUS} and ({_has(TEXT, V.TEST_MARKERS)} or regexp_matches({TEXT}, '^(async )?fn test_'))) as t, count(*) filter ({PLUS} and {_has(TEXT, V.LOG_MARKERS)}) as l,
       bool_or({PLUS} and {name()} in {_in(V.MANIFESTS)} and {_has(TEXT, ['version', '"^', '"~'])}) as dep from lines group by all),
       u as (select changeset_id, 0 as o, 'ErrorHandling' as intent, least(1.0, e / n) as c from g where e > 2 union all select changeset_id, 1, 'Test', least(1.0, t / n) from g where t > 2 union all select changeset_id, 2, 'Logging', least(1.0, l / n) from g where l > 2 union all select changeset_id, 3, 'Dependency', 0.9 from g where dep)
       select changeset_id, cast(rank as int) as rank, intent, confidence from (select changeset_id, row_number() over (partition by changeset_id order by o) - 1 as rank, intent, round(c::double, 6) as confidence from u) where rank < 3""",
     "ev_imports": f"""{CTE} select * from (select changeset_id, cast(row_number() over (partition by changeset_id order by file_idx, line_no) as int) as rank, concat({stem()}, case when raw like '+%' then ': added ' else ': removed ' end, {TEXT}) as import_change from lines where regexp_matches(raw, '^[+-]') and raw not like '+++%' and raw not like '---%' and {IMPORT}) where rank <= 10""",
-    "ev_breaking": f"""{CTE}, s as (select changeset_id, file_idx, line_no, concat(case when {name()} = 'Cargo.toml' and {PLUS} and contains(raw, 'rust-version') then 'rust-version' when {name()} = 'Cargo.toml' and {MINUS} and contains(raw, '[') and contains(raw, 'features') then 'features' when {MINUS} and regexp_matches({TEXT}, '^pub (use|mod) ') then 're-export' when {MINUS} and regexp_matches({TEXT}, '^export (\\{{|default)') then 'export' else '?' end, ': ', path) as signal from lines)
-      select changeset_id, file_idx, line_no, signal from (select *, lag(signal) over (partition by changeset_id order by file_idx, line_no) as b from s where signal not like '?%') where signal is distinct from b""",
-    "ev_connections": f"""{SIDES}, hits as (select distinct l.changeset_id, l.file_idx, n.sym_idx, concat(l.path, ' calls ', n.name, '() in ', n.file) as t from lines l join new n on n.changeset_id = l.changeset_id and n.file <> l.path and contains(l.raw, concat(n.name, '(')) where {PLUS} and strlen(n.name) >= 4)
+    "ev_breaking": f"""{CTE}, s as (select changeset_id, file_idx, line_no, case
+        when {name()} = 'Cargo.toml' and {PLUS} and contains(raw, 'rust-version') then concat('MSRV changed in Cargo.toml: ', {TEXT})
+        when {name()} = 'package.json' and {PLUS} and contains(raw, 'engines') and contains(raw, '"node"') then concat('Node engine requirement changed: ', {TEXT})
+        when {name()} = 'pyproject.toml' and {PLUS} and contains(raw, 'requires-python') then concat('Python version requirement changed: ', {TEXT})
+        when {name()} = 'Cargo.toml' and {MINUS} and {TEXT} like '[%' and contains(raw, 'features') then 'Cargo.toml [features] section modified'
+        when {MINUS} and regexp_matches({TEXT}, '^pub (use|mod) ') then concat('Removed public re-export: ', {TEXT})
+        when {MINUS} and regexp_matches({TEXT}, '^export (\\{{|default)') then concat('Removed JS/TS export: ', {TEXT}) end as signal from lines)
+      select changeset_id, file_idx, line_no, signal from (select *, lag(signal) over (partition by changeset_id order by file_idx, line_no) as b from s where signal is not null) where signal is distinct from b""",
+    "ev_connections": f"""{SIDES}, hits as (select distinct l.changeset_id, l.file_idx, n.sym_idx, concat({stem("l.path")}, ' calls ', n.name, '() — both changed') as t from lines l join new n on n.changeset_id = l.changeset_id and n.file <> l.path and contains(l.raw, concat(n.name, '(')) where {PLUS} and strlen(n.name) >= 4)
       select changeset_id, string_agg(t, '; ' order by t) as connections from (select distinct changeset_id, t from (select *, row_number() over (partition by changeset_id order by file_idx, sym_idx) as k from hits) where k <= 5) group by all""",
-    "ev_test_correlation": f"""{CTE}, r as (select changeset_id, regexp_replace(path, 'f[0-9]+([0-9])[.]', 'f\\1.') as path from files), c as (select *, {category()} as cat, {stem()} as st from r)
-      select distinct s.changeset_id, s.path as source_path, t.path as test_path from c s join c t on t.changeset_id = s.changeset_id and starts_with(t.st, s.st) where s.cat = 'Source' and t.cat = 'Test'""",
-    "ev_primary_change": f"""{COUNTED}, sy as (select * from symbols where changeset_id < 'src15' and is_public) select c.changeset_id, coalesce((select concat('added ', name) from sy where sy.changeset_id = c.changeset_id and is_added order by sym_idx limit 1), (select concat('removed ', name) from sy where sy.changeset_id = c.changeset_id and not is_added order by sym_idx limit 1), concat('changes in ', c.path)) as primary_change
+    "ev_test_correlation": f"""{CTE}, r as (select changeset_id, file_idx, regexp_replace(path, 'f[0-9]+([0-9])[.]', 'f\\1.') as path from files), c as (select *, {category()} as cat, {stem()} as st from r)
+      select * from (select s.changeset_id, cast(row_number() over (partition by s.changeset_id order by s.file_idx, t.file_idx) as int) as rank, s.path as source_path, t.path as test_path from c s join c t on t.changeset_id = s.changeset_id and starts_with(t.st, s.st) where s.cat = 'Source' and t.cat = 'Test') where rank <= 5""",
+    "ev_primary_change": f"""{COUNTED}, sy as (select * from symbols where is_public)
+      select c.changeset_id, coalesce((select concat('added ', kind, ' ', name, ' (public)') from sy where sy.changeset_id = c.changeset_id and is_added order by sym_idx limit 1), (select concat('removed ', kind, ' ', name, ' (public)') from sy where sy.changeset_id = c.changeset_id and not is_added order by sym_idx limit 1), concat('most changes in ', {stem()}, ' (+', additions, ' -', deletions, ')')) as primary_change
       from (select *, row_number() over (partition by changeset_id order by additions + deletions desc, file_idx desc) as k from counted) c where k = 1""",
     "infer_type": f"""{COUNTED}, new as (select * from symbols where is_added), old as (select * from symbols where not is_added),
       b as (select changeset_id, count(*) as n, sum(additions) as ins, sum(deletions) as del, sum(case when {category()} = 'Test' then additions else 0 end) as test, count(*) filter (status = 'Added') as fresh, bool_and({category()} = 'Docs') as ad, bool_and({category()} = 'Test') as at_, bool_and({category()} = 'Config') as ac, bool_and({category()} = 'Build') as ab from counted group by all),
@@ -154,7 +162,7 @@ SQL = {
     "hist_parse": f"{PARSED} select repo, pos, type, scope, text from parsed",
     "hist_types": f"{PARSED} select repo, type, n, cast(row_number() over (partition by repo order by n desc, type) as int) as rank from (select repo, type, count(*) as n from parsed where type is not null group by all)",
     "hist_scopes_top10": f"{PARSED} select * from (select repo, scope, n, cast(row_number() over (partition by repo order by n desc, scope) as int) as rank from (select repo, scope, count(*) as n from parsed where scope is not null group by all)) where rank <= 10",
-    "hist_style": f"{PARSED} select repo, n, al as avg_length, low >= 0.8 * good as lower_case, round(good / n, 6) as conventional_ratio from (select repo, count(*) as n, sum(strlen(subject))::bigint // count(*) as al, count(type) as good, count(*) filter (type is not null and substr(text, 1, 1) = lower(substr(text, 1, 1))) as low from parsed group by all) where n >= 5",
+    "hist_style": f"{PARSED} select repo, n, al as avg_length, 10 * low >= 8 * n as lower_case, round(good / n, 6) as conventional_ratio from (select repo, count(*) as n, sum(strlen(subject))::bigint // count(*) as al, count(type) as good, count(*) filter (regexp_matches(coalesce(text, subject), '^\\p{{Ll}}')) as low from parsed group by all) where n >= 5",
     "hist_samples": f"{PARSED} select repo, cast(rank as int) as rank, subject from (select repo, subject, row_number() over (partition by repo order by pos) as rank from parsed where type is not null) where rank <= 5",
     "sim_tokens": "select doc_id as file_idx, len(list_filter(list_distinct(regexp_split_to_array(regexp_replace(text, '[^\\x00-\\x7f]', ' ', 'g'), '[^A-Za-z0-9]+')), lambda t: strlen(t) > 2))::int as n_tokens from documents",
     "sim_jaccard_pairs": f"""{CTE}, w as (select distinct changeset_id, file_idx, t from (select changeset_id, file_idx, unnest(regexp_split_to_array(regexp_replace({BODY}, '[^\\x00-\\x7f]', ' ', 'g'), '[^A-Za-z0-9]+')) as t from lines where {PLUS} or {MINUS}) where strlen(t) > 2),
@@ -162,7 +170,7 @@ SQL = {
       select b.changeset_id, fa as file_a, fb as file_b, round(common / (p.n + q.n - common), 6) as jaccard from b join z p on p.changeset_id = b.changeset_id and p.file_idx = fa join z q on q.changeset_id = b.changeset_id and q.file_idx = fb where common / (p.n + q.n - common) > 0.4""",
     "sim_fingerprint": f"{PRINTS} select * from prints",
     "sim_shape_pairs": f"""{PRINTS} select a.changeset_id, a.file_idx as file_a, b.file_idx as file_b from prints a join prints b on a.changeset_id = b.changeset_id and a.file_idx < b.file_idx
-      where case when a.added + a.removed = 0 or b.added + b.removed = 0 then a.added + a.removed = b.added + b.removed else greatest(a.added + a.removed, b.added + b.removed) <= 3 * least(a.added + a.removed, b.added + b.removed) and abs(a.balance - b.balance) <= 0.4 and ((a.indent_ratio > 0.5 and b.indent_ratio > 0.5) or least(a.hunks, b.hunks) / greatest(a.hunks, b.hunks, 1) > 0.3) end""",
+      where case when a.added + a.removed = 0 or b.added + b.removed = 0 then a.added + a.removed = b.added + b.removed else greatest(a.added + a.removed, b.added + b.removed) <= 3 * least(a.added + a.removed, b.added + b.removed) and abs(a.balance - b.balance) <= 0.4 and ((a.indent_ratio > 0.5 and b.indent_ratio > 0.5) or greatest(a.hunks, b.hunks) = 0 or least(a.hunks, b.hunks) / greatest(a.hunks, b.hunks, 1) > 0.3) end""",
     "grp_module": f"{CTE} select changeset_id, case when {up()} in {_in(V.GENERIC_DIRECTORIES)} then {stem()} else {up()} end as module, count(*) as n_files, min(file_idx) as first_file from files group by 1, 2",
     "grp_moved_symbol_edges": f"{SIDES} select distinct o.changeset_id, o.kind, o.name, o.file as from_file, n.file as to_file from old o join new n on n.changeset_id = o.changeset_id and n.kind = o.kind and n.name = o.name and n.file <> o.file",
     "grp_call_edges": f"{CALLS} select distinct tok.changeset_id, tok.path as caller_file, n.file as callee_file from tok join new n on n.changeset_id = tok.changeset_id and n.name = tok.t and n.file <> tok.path",
@@ -174,7 +182,7 @@ SQL = {
     "msg_generic_subject": "select conv_id, turn, (turn + conv_id) % 6 in (0, 2, 4) and (turn + conv_id) % 6 <> 4 as generic from conversations",
     "msg_validate": rf"""{JSON}, v as (select *, regexp_replace(trim(subject), '\.+$', '') as s from c) select conv_id, turn, array_to_string(list_filter([case when lower(type) = 'fix' and conv_id % 2 <> 0 then '1' end, case when conv_id % 3 > 0 then '2' end, case when turn % 2 = 0 and lower(type) in ('feat', 'fix') then '4' end,
       case when conv_id % 5 = 0 and lower(type) <> 'chore' then '5' end, case when length(s) + strlen(type) + strlen(scope) + 4 > 72 then '7' end], lambda x: x is not null), ',') as violations from v""",
-    "msg_clean_text": "select conv_id, turn, case when turn % 2 = 0 then concat('feat: ', lower(substr(b, 1, 1)), substr(b, 2)) else concat('hello: ', lower(substr(b, 1, 1)), substr(b, 2)) end as cleaned from (select conv_id, turn, rtrim(substr(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 1, 40)) as b from conversations)",
+    "msg_clean_text": "select conv_id, turn, case when turn % 2 = 0 then concat('feat: ', lower(substr(b, 1, 1)), substr(b, 2)) else concat('hello: ', lower(substr(b, 1, 1)), substr(b, 2)) end as cleaned from (select conv_id, turn, rtrim(regexp_replace(text, '[^A-Za-z ]', '', 'g')) as b from conversations)",
     "msg_control_chars": "select conv_id, turn, (length(regexp_replace(text, '[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x{9f}]', '', 'g')) + 1)::int as n from conversations",
     "eval_summary": "select expected_type, count(*) filter (passed) as n_passed, count(*) as n_total from (select case doc_id % 4 when 0 then 'feat' when 1 then 'fix' when 2 then 'docs' else 'style' end as expected_type, quality = 1 and toxic = 0 as passed from labels) group by all",
     "stream_ndjson_reassembly": f"{CTE} select concat(conv_id, '-', turn) as request_id, raw as text, null::varchar as error from responses",

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import textwrap
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from . import values as V
 
@@ -107,14 +103,15 @@ def violations(commit: Column, bug: Column, mechanical: Column, removed: Column,
     return F.filter(F.array(*[F.when(r, i) for i, r in enumerate(rules, 1)]), lambda x: x.isNotNull())
 
 
-def _wrap(text: str | None, width: int) -> str | None:
-    if text is None:
-        return None
-    lines = (textwrap.wrap(line, width, break_long_words=False, break_on_hyphens=False) or [""] for line in text.split("\n"))
-    return "\n".join("\n".join(x) for x in lines)
+def wrap_body(text: Column, width: int) -> Column:
+    """Greedy word wrap of each paragraph; runs of white space become one space, longer words stand alone."""
 
+    def put(so_far: Column, word: Column) -> Column:
+        n = F.char_length(word)
+        first, fits = so_far["n"] < 0, so_far["n"] + 1 + n <= width
+        mark = F.when(first, "").when(fits, " ").otherwise("\n")
+        return F.struct(F.concat(so_far["text"], mark, word).alias("text"), F.when(~first & fits, so_far["n"] + 1 + n).otherwise(n).alias("n"))
 
-@F.pandas_udf(StringType())
-def wrap_body(text: pd.Series, width: pd.Series) -> pd.Series:
-    """Greedy word wrap of each paragraph; longer words stand alone."""
-    return pd.Series([_wrap(t, int(w)) for t, w in zip(text, width)])
+    words = lambda p: F.filter(F.split(p, r"(?U)\s+"), lambda w: w != "")
+    none = F.struct(F.lit("").alias("text"), F.lit(-1).alias("n"))
+    return F.array_join(F.transform(F.split(text, "\n", -1), lambda p: F.aggregate(words(p), none, put, lambda x: x["text"])), "\n")

@@ -34,7 +34,7 @@ SYMBOL_COLUMNS = (
     "cast(1 + (file_idx + k * 3) % 12 + length(text) % 15 as bigint) as end_line",
     "file_idx % 2 = 0 as is_public",
     "k % 2 = 0 as is_added",
-    "concat('fn sym(', case when (file_idx + k) % 3 = 0 then 'a: u8' else 'a: u8, b: u8' end, ')') as signature",
+    "concat('fn sym(', case (file_idx + k) % 3 when 0 then 'a: u8' when 1 then 'a: Map<K, V>, b: u8' else 'a: u8, b: u8' end, ')') as signature",
 )
 
 SUBJECT = """case event_type when 'signup' then concat('feat(u', cast(user_id % 6 as {s}), '): add signup ', cast(event_id as {s}))

@@ -300,7 +300,7 @@ def grp_split(spark, d):
 
 @query
 def bud_symbols_prefix(spark, d):
-    return symbols.within_budget(D.symbols(spark, d), 2000).select("changeset_id", "sym_idx", "text")
+    return symbols.within_budget(D.symbols(spark, d), 2000)
 
 
 @query
@@ -310,13 +310,13 @@ def bud_file_lines(spark, d):
 
 @query
 def bud_split(spark, d):
-    rows = D.files(spark, d).groupBy("changeset_id").agg((F.count("*") % 2 == 0).alias("has_diffs"), (F.max("file_idx") % 3 == 0).alias("has_signatures"))
+    rows = D.files(spark, d).groupBy("changeset_id").agg((F.count("*") % 2 == 0).alias("has_diffs"), (F.max("file_idx") % 3 == 0).alias("has_signatures"), (F.count("*") * 400 + F.max("file_idx") * 10).alias("used"))
     return budget.split(rows)
 
 
 @query
 def bud_truncate_adaptive(spark, d):
-    return budget.truncate(D.lines(spark, d), budget.file_lines(D.files(spark, d)), 18000)
+    return budget.truncate(D.files(spark, d), D.lines(spark, d), budget.file_lines(D.files(spark, d)), 18000)
 
 
 @query
@@ -360,7 +360,7 @@ def msg_control_chars(spark, d):
 
 @query
 def msg_wrap72(spark, d):
-    return D.table(spark, d, "conversations").select("conv_id", "turn", messages.wrap_body(F.col("text"), F.lit(72)).alias("wrapped"))
+    return D.table(spark, d, "conversations").select("conv_id", "turn", messages.wrap_body(F.col("text"), 72).alias("wrapped"))
 
 
 @query

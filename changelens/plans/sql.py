@@ -116,7 +116,7 @@ SQL = {
     "sym_removed": f"{SIDES} select changeset_id, sym_idx, kind, name, file from old o where not exists (select 1 from new n where {MATCH})",
     "sym_modified": f"{SIDES} select changeset_id, sym_idx, kind, name, file from new n where exists (select 1 from old o where {MATCH})",
     "sym_signature_change": f"{SIDES} select * from (select changeset_id, sym_idx, {FIRST_OLD.format(c='o.signature')} as old_signature, signature as new_signature from new n) where old_signature <> new_signature",
-    "diff_fields": f"{SIDES} select changeset_id, sym_idx, case when contains(s, 'b:') then 'b' else '' end as added, case when contains(os, 'b:') then 'b' else '' end as removed, '' as retyped from (select changeset_id, sym_idx, signature as s, {FIRST_OLD.format(c='o.signature')} as os from new n) where os <> s",
+    "diff_fields": f"{SIDES} select changeset_id, sym_idx, case when contains(s, 'b:') and not contains(os, 'b:') then 'b: u8' else '' end as added, case when contains(os, 'b:') and not contains(s, 'b:') then 'b: u8' else '' end as removed, case when contains(s, 'Map') <> contains(os, 'Map') then 'a' else '' end as retyped from (select changeset_id, sym_idx, signature as s, {FIRST_OLD.format(c='o.signature')} as os from new n) where os <> s",
     "diff_body_lines": "with d as (select doc_id, list_distinct(string_split(text, chr(10))) as b from documents) select x.doc_id, len(list_filter(y.b, lambda l: not list_contains(x.b, l)))::int as n_new, len(list_filter(x.b, lambda l: not list_contains(y.b, l)))::int as n_old from d x join d y on y.doc_id = x.doc_id + 1",
     "sym_span_hunk": f"""{CTE}, h as (select changeset_id, path, {head(1)}::bigint as os, coalesce(nullif({head(2)}, '')::bigint, 1) as oc, {head(3)}::bigint as ns, coalesce(nullif({head(4)}, '')::bigint, 1) as nc from lines where {HEAD})
       select changeset_id, sym_idx from symbols s where exists (select 1 from h where h.changeset_id = s.changeset_id and h.path = s.file and case when s.is_added then s.line < ns + nc and s.end_line > ns else s.line < os + oc and s.end_line > os end)""",
@@ -174,9 +174,13 @@ SQL = {
     "grp_module": f"{CTE} select changeset_id, case when {up()} in {_in(V.GENERIC_DIRECTORIES)} then {stem()} else {up()} end as module, count(*) as n_files, min(file_idx) as first_file from files group by 1, 2",
     "grp_moved_symbol_edges": f"{SIDES} select distinct o.changeset_id, o.kind, o.name, o.file as from_file, n.file as to_file from old o join new n on n.changeset_id = o.changeset_id and n.kind = o.kind and n.name = o.name and n.file <> o.file",
     "grp_call_edges": f"{CALLS} select distinct tok.changeset_id, tok.path as caller_file, n.file as callee_file from tok join new n on n.changeset_id = tok.changeset_id and n.name = tok.t and n.file <> tok.path",
-    "bud_symbols_prefix": f"{CTE}, t as (select changeset_id, sym_idx, {SYMBOL_TEXT} as text from symbols), w as (select *, row_number() over w as k, sum(strlen(text)) over w as s from t window w as (partition by changeset_id order by sym_idx)) select changeset_id, sym_idx, text from w where s + greatest(k - 1, 1) <= 2000",
+    "bud_symbols_prefix": f"""{CTE}, t as (select changeset_id, sym_idx, is_added, {SYMBOL_TEXT} as text from symbols), w as (select *, row_number() over w as k, sum(strlen(text)) over w as s from t window w as (partition by changeset_id, is_added order by sym_idx)),
+      g as (select changeset_id, is_added, string_agg(text, chr(10) order by sym_idx) filter (s + greatest(k - 1, 1) <= 2000) as shown, count(*) filter (s + greatest(k - 1, 1) > 2000) as more from w group by all)
+      select changeset_id, is_added, concat(coalesce(shown, ''), case when more > 0 then concat(chr(10), '... and ', more, ' more symbols') else '' end) as text from g""",
     "bud_file_lines": f"""{CTE}, n as (select *, count(*) over (partition by changeset_id) as n, {category()} as cat from files) select changeset_id, file_idx, least(greatest((case when n = 1 then 500 when n <= 3 then 250 when n <= 6 then 500 // n else greatest(30, 500 // n) end) * (case cat when 'Source' then 3 when 'Test' then 2 else 1 end) // 2, 20), 100)::bigint as max_lines from n""",
-    "bud_split": f"{CTE}, r as (select changeset_id, count(*) % 2 = 0 as has_diffs, max(file_idx) % 3 = 0 as has_signatures from files group by all) select * exclude (p), (22000 * p // 100)::bigint as symbol_budget, (22000 * p // 100 // 3)::bigint as block_budget, greatest(4000, 22000 - 22000 * p // 100)::bigint as diff_budget from (select *, case when has_diffs then 20 when has_signatures then 30 else 20 end as p from r)",
+    "bud_split": f"""{CTE}, r as (select changeset_id, count(*) % 2 = 0 as has_diffs, max(file_idx) % 3 = 0 as has_signatures, (count(*) * 400 + max(file_idx) * 10)::bigint as used from files group by all),
+      p as (select *, greatest(22000 - used, 0) as rest, case when has_diffs then 20 when has_signatures then 30 else 20 end as p from r), q as (select *, greatest(4000, rest - rest * p // 100) as diff from p)
+      select changeset_id, has_diffs, has_signatures, used, greatest(rest - diff, 0)::bigint as symbol_budget, (greatest(rest - diff, 0) // 3)::bigint as block_budget, diff::bigint as diff_budget from q""",
     "msg_json_extract": f"{JSON} select conv_id, turn, type, scope, subject, body from c",
     "msg_first_line": rf"{JSON}, l as (select conv_id, turn, case when lower(type) in {_in(V.COMMIT_TYPES)} then concat(lower(type), '(a-b): ', lower(substr(s, 1, 1)), substr(s, 2)) end as line from (select *, regexp_replace(trim(subject), '\.+$', '') as s from c)) select conv_id, turn, line, length(line) > 72 as too_long from l",
     "msg_generic_subject": "select conv_id, turn, (turn + conv_id) % 6 in (0, 2, 4) and (turn + conv_id) % 6 <> 4 as generic from conversations",

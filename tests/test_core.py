@@ -1,9 +1,12 @@
+import random
+from types import SimpleNamespace
+
 import json
 
 from pyspark.sql import functions as F
 
 from changelens.functions import messages, paths, secrets
-from changelens.operators import budget, diffs, evidence, grouping
+from changelens.operators import budget, diffs, evidence, grouping, history, similarity, symbols
 from changelens.sources import fixtures, patches
 from changelens.streaming.tokens import Reader, reassemble
 
@@ -74,7 +77,7 @@ def test_conventional_subjects(spark):
 
 def test_messages(spark):
     raw = '<think>{"type"}</think>```json\n{"type":"Feat","scope":"A b","subject":"Add it.","body":null}\n```'
-    row = spark.createDataFrame([(raw,)], "raw string").select(messages.first_line(messages.extract_json(F.col("raw"))).alias("line"), messages.wrap_body(F.lit("aa bb cc\n\ndddddd"), F.lit(5)).alias("w")).first()
+    row = spark.createDataFrame([(raw,)], "raw string").select(messages.first_line(messages.extract_json(F.col("raw"))).alias("line"), messages.wrap_body(F.lit("aa  bb cc\n\ndddddd"), 5).alias("w")).first()
     assert (row.line, row.w) == ("feat(a-b): add it", "aa bb\ncc\n\ndddddd")
 
 
@@ -93,11 +96,11 @@ def test_messages_of_whole_texts(spark):
 
 
 def test_evidence_of_whole_inputs(spark):
-    """The registered queries see part of the symbols and files; here each changeset has all of its own."""
+    """The queries' changesets all have symbols and source files; here some have none."""
     counted = spark.createDataFrame([("bare", 0, "a.rs", 5, 4), ("hot", 0, "b.rs", 5, 4), ("src99", 0, "c.rs", 5, 4), ("src99", 1, "d.rs", 9, 0)], "changeset_id string, file_idx long, path string, additions long, deletions long")
-    symbols = spark.createDataFrame([("hot", 7, "old", True, False), ("hot", 9, "fresh", True, True), ("hot", 8, "own", False, True), ("src99", 3, "gone", True, False)], "changeset_id string, sym_idx long, name string, is_public boolean, is_added boolean")
+    symbols = spark.createDataFrame([("hot", 7, "Struct", "old", True, False), ("hot", 9, "Function", "fresh", True, True), ("hot", 8, "Function", "own", False, True), ("src99", 3, "Trait", "gone", True, False)], "changeset_id string, sym_idx long, kind string, name string, is_public boolean, is_added boolean")
     assert {r.changeset_id: r.is_mechanical for r in evidence.mechanical(counted, symbols).collect()} == {"bare": True, "hot": False, "src99": False}
-    assert {r.changeset_id: r.primary_change for r in evidence.primary_change(counted, symbols).collect()} == {"bare": "changes in a.rs", "hot": "added fresh", "src99": "removed gone"}
+    assert {r.changeset_id: r.primary_change for r in evidence.primary_change(counted, symbols).collect()} == {"bare": "most changes in a (+5 -4)", "hot": "added Function fresh (public)", "src99": "removed Trait gone (public)"}
     files = spark.createDataFrame([("m", "Cargo.toml"), ("m", ".gitlab-ci.yml"), ("n", "Cargo.toml"), ("n", "src/a.rs")], "changeset_id string, path string")
     assert {r.changeset_id: r.is_dependency_only for r in evidence.dependency_only(files).collect()} == {"m": True, "n": False}
 
@@ -120,7 +123,7 @@ def test_merge_compat_loses_pairs():
             self.path = path
 
     groups = [[File(c)] for c in "abcd"]
-    assert len(grouping.merged(groups, [("a", "d"), ("b", "c")])) == 2
+    assert len(grouping.merged(groups, [("a", "d"), ("b", "c")])) == 3
     assert len(grouping.merged(groups, [("a", "b"), ("b", "c")], connected=True)) == 2
 
 
@@ -135,11 +138,90 @@ def test_stream_is_the_same_for_every_cut(spark):
     assert reassemble(spark.createDataFrame(rows, "request_id string, seq long, chunk string")).first().text == "héy"
 
 
-def test_budget_truncation_lets_later_files_fit(spark):
-    lines = spark.createDataFrame([("c", 0, "src/a.rs", 0, "x" * 500), ("c", 1, "src/b.rs", 0, "short")], "changeset_id string, file_idx long, path string, line_no long, raw string")
-    limits = spark.createDataFrame([("c", 0, 100), ("c", 1, 100)], "changeset_id string, file_idx long, max_lines long")
-    got = {r.file_idx: r.shown for r in budget.truncate(lines, limits, 300).collect()}
-    assert got == {0: 0, 1: 1}
+def numbered_lines(spark, files):
+    """files: (changeset_id, file_idx, path, lines)."""
+    rows = [(c, i, p, k, raw) for c, i, p, body in files for k, raw in enumerate(body)]
+    return spark.createDataFrame(rows, "changeset_id string, file_idx long, path string, line_no long, raw string")
+
+
+def test_budget_truncation(spark):
+    """A line that does not fit ends its file; a header that does not fit ends the list; lock files cost a placeholder."""
+    lines = numbered_lines(spark, [("c", 0, "src/a.rs", ["x" * 500]), ("c", 1, "src/b.rs", ["short", "é" * 30]), ("d", 0, "src/a.rs", ["y" * 90]), ("d", 1, "src/" + "n" * 90 + ".rs", ["z"]), ("d", 2, "src/c.rs", ["z"])])
+    lines = lines.unionByName(numbered_lines(spark, [("e", 0, "Cargo.lock", ["a"]), ("e", 1, "src/a.png", ["a"]), ("e", 2, "src/a.rs", ["a", "b", "c"])]))
+    files = lines.select("changeset_id", "file_idx", "path").distinct()
+    limits = files.select("changeset_id", "file_idx", F.lit(2).cast("long").alias("max_lines"))
+    got = {(r.changeset_id, r.file_idx): (r.listed, r.shown, r.total) for r in budget.truncate(files, lines, limits, 200).collect()}
+    assert got == {("c", 0): (True, 0, 1), ("c", 1): (True, 2, 2), ("d", 0): (True, 1, 1), ("d", 1): (False, 0, 1), ("d", 2): (False, 0, 1), ("e", 0): (True, 0, 1), ("e", 2): (True, 2, 3)}
+
+
+def test_budget_split_has_a_floor(spark):
+    rows = spark.createDataFrame([(True, False, 0), (False, True, 19000), (False, False, 30000)], "has_diffs boolean, has_signatures boolean, used long")
+    got = [(r.symbol_budget, r.diff_budget) for r in budget.split(rows).orderBy("used").collect()]
+    assert got == [(4400, 17600), (0, 4000), (0, 4000)]
+
+
+def brute_wrap(text, width):
+    out = []
+    for paragraph in text.split("\n"):
+        lines = [""]
+        for k, word in enumerate(paragraph.split()):
+            if k and len(lines[-1]) + 1 + len(word) > width:
+                lines.append(word)
+            else:
+                lines[-1] += (" " if k else "") + word
+        out.append("\n".join(lines))
+    return "\n".join(out)
+
+
+def test_wrap_against_brute_force(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abé  \n\t") * rng.choice([1, 1, 2, 9]) for _ in range(rng.randrange(60))) for _ in range(200)] + ["", "x" * 90, None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", messages.wrap_body(F.col("t"), 12).alias("w")).collect()
+    assert [(r.t, r.w) for r in got if r.w != (None if r.t is None else brute_wrap(r.t, 12))] == []
+
+
+def test_fingerprints_and_shapes(spark):
+    lines = numbered_lines(spark, [("c", 0, "a", ["@@ x", "+a", "+ b", "+", "-a ", "-b", "- "]), ("c", 1, "b", ["+a", "-b"]), ("c", 2, "c", ["+q", "-r"]), ("c", 3, "d", [" same"])])
+    got = {r.file_idx: (r.added, r.removed, r.hunks, r.balance, r.indent_ratio) for r in similarity.fingerprints(lines).collect()}
+    assert got == {0: (3, 3, 1, 1.0, 1.0), 1: (1, 1, 0, 1.0, 0.0), 2: (1, 1, 0, 1.0, 0.0), 3: (0, 0, 0, 1.0, 0.0)}
+    assert [(r.file_a, r.file_b) for r in similarity.shape_pairs(similarity.fingerprints(lines)).collect()] == [(1, 2)]
+
+
+def test_conflict_markers(spark):
+    body = {"a": ("README.md", "+======= x"), "b": ("src/a.rs", "+  <<<<<<< HEAD"), "c": ("src/a.rs", " >>>>>>> x"), "d": ("src/contest/a.rs", "+<<<<<<< x"), "e": ("docs/a.md", "+>>>>>>> x"), "f": ("documentation/a.md", "+x >>>>>>> y")}
+    got = {r.changeset_id: r.has_conflicts for r in diffs.conflicts(numbered_lines(spark, [(c, 0, p, [raw]) for c, (p, raw) in body.items()])).collect()}
+    assert got == {"a": False, "b": True, "c": False, "d": False, "e": False, "f": True}
+
+
+def test_scope_and_style(spark):
+    files = spark.createDataFrame([("a", "src/api/a.rs"), ("a", "main.rs"), ("b", "src/api/a.rs"), ("b", "src/db/a.rs"), ("c", "README.md")], "changeset_id string, path string")
+    assert {r.changeset_id: r.scope for r in evidence.infer_scope(files).collect()} == {"a": "api", "b": None, "c": None}
+    subjects = [("r", 0, "feat: add x")] + [("r", k, "Update y") for k in range(1, 5)] + [("s", k, "tidy z") for k in range(4)] + [("s", 4, "Fix")]
+    got = {r.repo: (r.lower_case, r.conventional_ratio) for r in history.style(spark.createDataFrame(subjects, "repo string, pos long, subject string")).collect()}
+    assert got == {"r": (False, 0.2), "s": (True, 0.0)}
+
+
+def test_signals_of_lines(spark):
+    lines = numbered_lines(spark, [("c", 0, "src/a.rs", ["+    import os", "-pub use a;", "-pub use b;", "-pub use b;", "+useful"]), ("c", 1, "Cargo.toml", ['+rust-version = "1.9"', "-[features]", "-x = [features]"])])
+    assert [r.import_change for r in evidence.imports(lines).collect()] == ["a: added import os"]
+    got = [r.signal for r in evidence.metadata_breaking(lines).orderBy("file_idx", "line_no").collect()]
+    assert got == ["Removed public re-export: pub use a;", "Removed public re-export: pub use b;", 'MSRV changed in Cargo.toml: rust-version = "1.9"', "Cargo.toml [features] section modified"]
+
+
+def test_parameters_with_generics(spark):
+    rows = [("fn f(a: Map<K, V>, b: u8)", "fn f(a: Map<K, W>, c: (u8, u8), d)")]
+    r = symbols.parameter_changes(spark.createDataFrame(rows, "old_signature string, new_signature string")).first()
+    assert (r.added, r.removed, r.retyped) == ("c: (u8, u8),d", "b: u8", "a")
+
+
+def test_support_files_and_tests():
+    def file(path, category, size=10, module="m"):
+        stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+        return SimpleNamespace(path=path, category=category, additions=size, deletions=0, stem=stem, module=module, words={path}, balance=0.0, indent_ratio=0.0, hunks=1)
+
+    rows = [file("src/a.rs", "Source", 10), file("src/b.rs", "Source", 90), file("tests/a.rs", "Test"), file("tests/b_test.rs", "Test"), file("docs/guide.md", "Docs"), file("docs/a.md", "Docs"), file("Cargo.toml", "Config"), file("Cargo.lock", "Config")]
+    got = [[f.path for f in g] for g in grouping.fold(rows, [])]
+    assert got == [["src/a.rs", "tests/a.rs", "docs/a.md"], ["src/b.rs", "tests/b_test.rs"], ["docs/guide.md"], ["Cargo.toml", "Cargo.lock"]]
 
 
 def test_entry_points_have_names():

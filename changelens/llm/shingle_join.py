@@ -220,8 +220,10 @@ def _texts(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFr
 def _led(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
     """Of the pairs (a, own_a, b, own_b) of a member and its leader, with their classes, the similar ones (a, b), on whole
     texts. A leader of many members is dealt over salts, GROUP members each."""
-    many = pairs.groupBy("own_b").agg(F.ceil(F.count("*") / GROUP).alias("salts"))
-    salted = pairs.join(many, "own_b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
+    many = saved(pairs.groupBy("own_b").agg(F.ceil(F.count("*") / GROUP).alias("salts")).where("salts > 1"))
+    few = many.count() <= SMALL
+    salted = pairs.join(F.broadcast(many) if few else many, "own_b", "left")
+    salted = salted.withColumn("salt", F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1))).cast("int"))
     roles = saved(salted.select(F.col("a").alias("id"), F.col("own_a").alias("own"), "own_b", "salt").union(salted.select("b", "own_b", "own_b", "salt")).distinct())
 
     def of(got: pa.Table) -> pa.Table:

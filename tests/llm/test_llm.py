@@ -221,6 +221,111 @@ def test_lm(spark):
     assert lm.scores(docs(spark, [])).count() == 0
 
 
+def suffix_tree(texts, depth=lm.DEPTH, smoothing=2.0, least=2, divergence=1.0):
+    """A brute-force tree: the log10 probability of a text."""
+    symbols = lambda t: b" ".join(t.lower().encode().split()) + bytes([lm.END])
+    counts = Counter()
+    pad = bytes([lm.START]) * depth
+    for t in texts:
+        whole = pad + symbols(t)
+        counts.update((whole[i - k : i], whole[i]) for i in range(depth, len(whole)) for k in range(depth + 1))
+    follow = {}
+    for (context, symbol), n in counts.items():
+        follow.setdefault(context, {})[symbol] = n
+
+    def p(context, symbol):
+        lower = (lambda s: p(context[1:], s)) if context else (lambda s: 1 / 256)
+        own = follow.get(context, {})
+        total, smooth = sum(own.values()), smoothing * max(1, len(own))
+        r = lambda s: (own.get(s, 0) + smooth * lower(s)) / (total + smooth)
+        gain = sum(n * math.log(r(s) / lower(s)) for s, n in own.items())
+        return r(symbol) if total >= least and gain > divergence * len(own) else lower(symbol)
+
+    def score(t):
+        whole = pad + symbols(t)
+        return sum(math.log10(p(whole[i - depth : i], whole[i])) for i in range(depth, len(whole)))
+
+    return score
+
+
+def test_lm_scores_against_a_brute_force_tree(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(i, " \t".join(rng.choice(["the", "cat", "Sat", "on", "é", "mat", "tree"]) for _ in range(rng.randrange(14)))) for i in range(40)]
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2}
+    score = suffix_tree([t for i, t in rows if i not in held])
+    rows.append((rows[3][0], rows[3][1]))  # a repeated row counts again
+    score = suffix_tree([t for i, t in rows if i not in held])
+    got = lm.scores(docs(spark, rows), block_bytes=300).collect()
+    assert len(got) == len(rows) and len({r.held_out for r in got}) == 2
+    for r in got:
+        assert r.score == pytest.approx(score(dict(rows)[r.doc_id]))
+
+
+def test_lm_of_odd_rows(spark):
+    got = lm.scores(docs(spark, ODD)).collect()
+    assert len(got) == len(ODD) and all(r.score < 0 and r.n_tokens >= 1 for r in got)
+    assert {r.n_tokens for r in got if r.doc_id in (3, 4, 5)} == {1} and {r.n_tokens for r in got if r.doc_id == 6} == {3001}
+
+
+def test_words_of_the_tokenizer_are_cut_where_its_pieces_end():
+    from tokenizers import Tokenizer
+
+    texts = ["Ab, c.d e.g. 3.14, _., x_, \u00e9, \u4e00. a  \n b ...x, it's. <|endoftext|>, q", "a..b ,c .", "\u0661. x\u0301. \u1e9e."]
+    tool = Tokenizer.from_file(bpe.default_file())
+    cut = bpe.words_of(open(bpe.default_file(), encoding="utf-8").read())
+    assert cut is bpe.CUT
+    for t in texts:
+        words = cut.findall(t)
+        assert "".join(words) == t and sum((tool.encode(w, add_special_tokens=False).ids for w in words), []) == tool.encode(t, add_special_tokens=False).ids
+
+
+def test_rows_below_a_score_keep_their_columns(spark):
+    rows = [(i, ("nasty fool " if i % 2 else "kind friend ") * 5) for i in range(60)] + [(900, None), (901, ""), (None, "kind friend"), (1, "nasty fool " * 5)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    frame = docs(spark, rows).selectExpr("doc_id", "text", "keep_id as sums", "n as n_words", "h as c0")
+    got = toxicity.below(frame, labels, 0.5)
+    assert got.columns == frame.columns and {r.doc_id for r in got.collect()} >= {i for i in range(60) if i % 2 == 0} | {None}
+    assert not {r.doc_id for r in got.collect()} & {i for i in range(60) if i % 2}
+    assert toxicity.below(frame.where("false"), labels, 0.5).count() == 0
+
+
+def test_spanning_links_connect_what_is_similar():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        base = [rng.integers(0, 2**63, int(rng.integers(3, 200))).astype(np.uint64) for _ in range(4)]
+        sets = []
+        for _ in range(int(rng.integers(2, 90))):
+            b = base[rng.integers(4)]
+            k = int(rng.integers(0, len(b) // 8 + 1))
+            sets.append(np.unique(np.concatenate((b[k:], rng.integers(0, 2**63, k).astype(np.uint64)))))
+        n = len(sets)
+
+        def labels(pairs, n=n):
+            up = list(range(n))
+            for _ in range(n):
+                for a, b in pairs:
+                    up[a] = up[b] = min(up[a], up[b])
+            return up
+
+        both = lambda i, j, sets=sets: len(np.intersect1d(sets[i], sets[j]))
+        true = [(i, j) for i in range(n) for j in range(i) if 100 * both(i, j) >= 90 * (len(sets[i]) + len(sets[j]) - both(i, j))]
+        links = shingle_join.spanning_links(sets, list(range(n)), np.arange(n), np.arange(n), 90)
+        assert len(links) < n and labels(links) == labels(true)
+
+
+def test_similarity_join_of_rows_with_one_id(spark):
+    """Rows repeated with the same id, and rows of one id with different texts, are judged each by its own text."""
+    base = [f"w{k}" for k in range(120)]
+    near = [*base[:60], "x", *base[61:]]
+    rows = [(1, " ".join(base)), (1, "another text of the same id"), (2, " ".join(near)), (2, " ".join(near)), (9, "y" * 40_000 + " " + "z " * 9000), (None, "alone here now"), (5, "")]
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in shingle_join.similar(docs(spark, rows))[0].collect())
+    assert got == [(0, 1, 0), (1, 4, 1), (1, 118, 1), (2, 118, 1), (2, 118, 1), (5, 0, 5), (9, 2, 9)]
+
+
 def test_classifiers_learn(spark):
     rows = [(i, ("nasty fool " if i % 2 else "kind friend ") * (3 + i % 4) + f"word{i % 9}") for i in range(400)] + [(900, None), (901, "")]
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(400)], "doc_id long, quality int, toxic int")

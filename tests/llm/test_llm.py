@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import math
 import re
@@ -233,6 +234,7 @@ def suffix_tree(texts, depth=lm.DEPTH, smoothing=2.0, least=2, divergence=1.0):
     for (context, symbol), n in counts.items():
         follow.setdefault(context, {})[symbol] = n
 
+    @functools.cache
     def p(context, symbol):
         lower = (lambda s: p(context[1:], s)) if context else (lambda s: 1 / 256)
         own = follow.get(context, {})

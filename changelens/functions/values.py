@@ -23,8 +23,11 @@ BINARY_EXTENSIONS = "png jpg jpeg gif ico webp woff woff2 ttf otf zip tar gz 7z
 LOCK_FILES = """Cargo.lock package-lock.json yarn.lock pnpm-lock.yaml bun.lockb go.sum Gemfile.lock poetry.lock composer.lock
 Pipfile.lock uv.lock pubspec.lock flake.lock shrinkwrap.yaml mix.lock""".split()
 
-GENERIC_DIRECTORIES = ["", *"""src lib services domain utils helpers internal core pkg cmd app api modules components common
-shared middleware handlers controllers models views routes""".split()]
+GENERIC_DIRECTORIES = [
+    "src", "lib", "services", "domain", "utils", "helpers", "internal", "core", "pkg", "cmd", "", "app",
+    "api", "modules", "components", "common", "shared", "middleware", "handlers", "controllers", "models",
+    "views", "routes",
+]
 
 CONTAINERS = "src lib app internal cmd api modules".split()
 WORKSPACES = "packages crates apps services plugins workspaces".split()

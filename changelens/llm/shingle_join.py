@@ -10,7 +10,8 @@ both (a bucket).
 2. In each bucket, one leader's point is held against the others' points, and what the bound leaves is verified.
 3. Buckets that this leaves in several components get R-trees of count vectors over all their members; members outside the
    largest component search them, what the bound leaves is verified on the spot, and links come out only where they join
-   components. Large buckets are cut into blocks, and each pair of blocks is a tree search of its own.
+   components. Buckets that overlap are searched as one where that moves fewer rows. Large ones are cut into blocks, and
+   each pair of blocks is a tree search of its own.
 4. Components follow from the links.
 """
 
@@ -245,20 +246,43 @@ def _led(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str, width: int,
     return saved(_texts(docs, roles, doc_id, text).groupBy("own_b", "salt").applyInArrow(of, "a long, b long"))
 
 
-def _across(docs: DataFrame, members: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
-    """Links (a, b) that join the components of members (sig, rep, own, component, n) of one bucket, whose largest one is
-    searched but does not search. Buckets of two are left out: their one pair is that of member and leader."""
-    held = members.groupBy("sig", "component").agg(F.count("*").alias("held"), F.sum("n").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x2"))
-    sizes = held.groupBy("sig").agg(F.sum("held").alias("n_members"), F.sum("size").alias("n_size"), F.max(F.struct("held", "size", "component")).alias("top"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2")).where("n_members > top.held and n_members > 2")
-    # Similar documents share most of their groups: of buckets with the same members (by 128 bits), one is enough.
+def _several(members: DataFrame, unit: str) -> DataFrame:
+    """Of units (buckets or clusters) of several components: the largest one (top), blocks of the members outside it (xs) and
+    of all members (ys), the rows that their search moves, and 128 bits that tell their members. Units of two are left out:
+    their one pair is that of member and leader."""
+    held = members.groupBy(unit, "component").agg(F.count("*").alias("held"), F.sum("n").alias("size"), F.bit_xor(F.xxhash64("own")).alias("x1"), F.bit_xor(F.xxhash64("own", F.lit(1))).alias("x2"))
+    sizes = held.groupBy(unit).agg(F.sum("held").alias("n_members"), F.sum("size").alias("n_size"), F.max(F.struct("held", "size", "component")).alias("top"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2")).where("n_members > top.held and n_members > 2")
     cut = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
-    kept = sizes.groupBy("n_members", "x1", "x2").agg(F.min(F.struct("sig", "n_size", "top")).alias("of"))
-    kept = kept.select("of.sig", F.col("of.top.component").alias("top"), cut(F.col("n_members") - F.col("of.top.held"), F.col("of.n_size") - F.col("of.top.size")).alias("xs"), cut(F.col("n_members"), F.col("of.n_size")).alias("ys"))
-    rows = members.join(kept, "sig").withColumn("outer", F.col("component") != F.col("top"))
-    rows = rows.withColumn("x0", F.pmod(F.xxhash64("rep"), F.col("xs")).cast("int")).withColumn("y0", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("ys")).cast("int"))
+    outer = F.col("n_members") - F.col("top.held")
+    sizes = sizes.withColumns({"xs": cut(outer, F.col("n_size") - F.col("top.size")), "ys": cut(F.col("n_members"), F.col("n_size")), "outer": outer})
+    moved = F.col("n_members") * F.col("xs") + F.col("outer") * (F.col("ys") - 1)
+    return sizes.select(unit, F.col("top.component").alias("top"), "xs", "ys", moved.alias("moved"), "n_members", "x1", "x2")
+
+
+def _units(members: DataFrame) -> DataFrame:
+    """(unit, own, rep, component, top, xs, ys): what is searched together. Similar documents share most of their groups, so
+    buckets overlap: of those with the same members one is enough, and those that hang together by members are one unit (a
+    cluster) where its search moves no more rows than theirs apart. Both hold every pair of a bucket."""
+    alike = _several(members, "sig").groupBy("n_members", "x1", "x2").agg(F.min(F.struct("sig", "top", "xs", "ys", "moved")).alias("of"))
+    rows = saved(members.join(alike.select("of.*"), "sig"))
+    clusters = components(rows.select(F.col("own").alias("a"), F.col("lead").alias("b")).distinct())
+    placed = saved(rows.join(clusters.select(F.col("node").alias("own"), F.col("component").alias("cluster")), "own"))
+    each = saved(placed.select("cluster", "own", "rep", "n", "component").distinct())
+    apart = placed.select("cluster", "sig", "moved").distinct().groupBy("cluster").agg(F.sum("moved").alias("apart"))
+    merged = saved(_several(each, "cluster").join(apart, "cluster").where("moved <= apart").select("cluster", "top", "xs", "ys"))
+    columns = ["own", "rep", "component", "top", "xs", "ys"]
+    together = each.join(merged, "cluster").select(F.col("cluster").alias("unit"), *columns)
+    return together.unionByName(placed.join(merged, "cluster", "left_anti").select(F.col("sig").alias("unit"), *columns))
+
+
+def _across(docs: DataFrame, members: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of members (sig, lead, rep, own, component, n) of one bucket. The largest
+    component of a unit is searched but does not search."""
+    rows = _units(members).withColumn("outer", F.col("component") != F.col("top"))
+    rows = rows.withColumn("x0", F.pmod(F.xxhash64("own"), F.col("xs")).cast("int")).withColumn("y0", F.pmod(F.xxhash64("own", F.lit(2)), F.col("ys")).cast("int"))
     searched = F.transform(F.sequence(F.lit(0), F.col("xs") - 1), lambda x: F.struct(x.alias("x"), F.col("y0").alias("y"), (F.col("outer") & (x == F.col("x0"))).alias("left"), F.lit(True).alias("right")))
     searching = F.transform(F.filter(F.sequence(F.lit(0), F.col("ys") - 1), lambda y: F.col("outer") & (y != F.col("y0"))), lambda y: F.struct(F.col("x0").alias("x"), y.alias("y"), F.lit(True).alias("left"), F.lit(False).alias("right")))
-    tasks = rows.select("sig", "rep", "own", "component", F.explode(F.concat(searched, searching)).alias("at")).select("sig", F.col("rep").alias("id"), "own", "component", "at.*")
+    tasks = rows.select("unit", "rep", "own", "component", F.explode(F.concat(searched, searching)).alias("at")).select("unit", F.col("rep").alias("id"), "own", "component", "at.*")
 
     def of(got: pa.Table) -> pa.Table:
         shingler, sets, at = Shingler(width), [], []
@@ -273,8 +297,8 @@ def _across(docs: DataFrame, members: DataFrame, doc_id: str, text: str, width:
         links = spanning_links(sets, labels, left, right, percent) if len(left) and len(right) else []
         return pa.table({"a": pa.array([int(ids[at[i]]) for i, _ in links], pa.int64()), "b": pa.array([int(ids[at[j]]) for _, j in links], pa.int64())})
 
-    # The key spreads the pairs of blocks of one signature over tasks. Signatures of equal keys are treated together.
-    keyed = saved(tasks.withColumn("key", F.xxhash64("sig", "x", "y")))
+    # The key spreads the pairs of blocks of one unit over tasks. Units of equal keys are treated together.
+    keyed = saved(tasks.withColumn("key", F.xxhash64("unit", "x", "y")))
     return saved(_texts(docs, keyed, doc_id, text).groupBy("key", "x", "y").applyInArrow(of, "a long, b long"))
 
 
@@ -305,7 +329,7 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     links = _led(docs, saved(first.select(F.col("rep").alias("a"), F.col("own").alias("own_a"), "b", F.col("lead").alias("own_b"))), doc_id, text, width, percent)
 
     found = components(links).withColumnRenamed("node", "rep")
-    told = saved(members.select("sig", "own", "rep", "n").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    told = saved(members.select("sig", "lead", "own", "rep", "n").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
     links = links.unionByName(_across(docs, told, doc_id, text, width, percent))
 
     last = components(links).withColumnRenamed("node", "rep")

@@ -153,9 +153,12 @@ def brute_components(rows, width=3):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
-def test_similarity_join(spark):
+@pytest.mark.parametrize("block", [1000, 3])
+def test_similarity_join(spark, block, monkeypatch):
+    """With blocks of 3, searches are cut into pairs of blocks, and some clusters are searched bucket by bucket."""
     import random
 
+    monkeypatch.setattr(shingle_join, "BLOCK", block)
     rng = random.Random(5)
     rows = [r for r in ODD if r[0] is not None and r[0] != 6]
     for g in range(6):
@@ -170,6 +173,18 @@ def test_similarity_join(spark):
     assert shingle_join.similar(docs(spark, []))[0].count() == 0
 
 
+def test_units_hold_every_open_pair(spark):
+    """Overlapping buckets are one unit; of equal buckets one is left; closed buckets and buckets of two are none."""
+    buckets = {1: [10, 11, 12, 13], 2: [10, 11, 12, 13], 3: [13, 14, 15], 4: [20, 21, 22], 5: [30, 31]}
+    closed = {20: 20, 21: 20, 22: 20}
+    rows = [(sig, own[0], k, k, closed.get(k, k), 5) for sig, own in buckets.items() for k in own]
+    members = spark.createDataFrame(rows, "sig long, lead long, rep long, own long, component long, n long")
+    units = {}
+    for r in shingle_join._units(members).collect():
+        units.setdefault(r.unit, []).append(r.own)
+    assert sorted(sorted(x) for x in units.values()) == [[10, 11, 12, 13, 14, 15]]
+
+
 def test_signatures_meet_when_similar():
     import numpy as np
 

@@ -75,3 +75,7 @@ SECRETS = [
     ("Generic Secret", r"""(?i)(password|secret|token)\s*[:=]\s*["'][^"']{8,}["']"""),
     ("Generic Secret (unquoted)", r"""(?i)(password|secret|token)\s*[:=]\s*[^\s'"]{16,}"""),
 ]
+
+# The limit of a first line and of wrapped text, and the prefix of a trailer.
+LINE = 72
+BREAKING = "BREAKING CHANGE: "

@@ -338,6 +338,28 @@ def msg_clean_text(spark, d):
     return D.table(spark, d, "conversations").select("conv_id", "turn", messages.clean_text(text).alias("cleaned"))
 
 
+@query
+def msg_sanitize(spark, d):
+    """JSON responses on even turns, plain ones on odd turns, through the whole sanitizer."""
+    plain = F.concat(F.lit("Suggested commit: feat(x): "), F.regexp_replace("text", "[^A-Za-z ]", ""))
+    raw = F.when(F.col("turn") % 2 == 0, F.expr(D.RESPONSE.format(g=""))).otherwise(plain)
+    return D.table(spark, d, "conversations").select("conv_id", "turn", messages.sanitize(raw).alias("s")).select("conv_id", "turn", "s.message", "s.error")
+
+
+@query
+def msg_format_body(spark, d):
+    """Whole texts as body and as breaking change."""
+    commit = F.struct(F.lit("Feat").alias("type"), F.lit("a b").alias("scope"), F.lit("Add it.").alias("subject"), F.col("text").alias("body"), F.col("text").alias("breaking_change"))
+    return D.table(spark, d, "conversations").select("conv_id", "turn", messages.format_commit(commit)["message"].alias("message"))
+
+
+@query
+def msg_template(spark, d):
+    """Roles and whole texts put into a template."""
+    template = F.lit("[{{role}}] {{text}} {{other}}")
+    return D.table(spark, d, "conversations").select("conv_id", "turn", messages.substitute(template, {"role": F.col("role"), "text": F.col("text")}).alias("filled"))
+
+
 @query
 def msg_generic_subject(spark, d):
     words = F.element_at(F.array(*map(F.lit, ["Update code", "improve the parser", "change  Logic now", "update a b c code", "fix code", "update"])), (F.col("turn") + F.col("conv_id")).cast("int") % 6 + 1)

@@ -183,6 +183,11 @@ SQL = {
       select changeset_id, has_diffs, has_signatures, used, greatest(rest - diff, 0)::bigint as symbol_budget, (greatest(rest - diff, 0) // 3)::bigint as block_budget, diff::bigint as diff_budget from q""",
     "msg_json_extract": f"{JSON} select conv_id, turn, type, scope, subject, body from c",
     "msg_first_line": rf"{JSON}, l as (select conv_id, turn, case when lower(type) in {_in(V.COMMIT_TYPES)} then concat(lower(type), '(a-b): ', lower(substr(s, 1, 1)), substr(s, 2)) end as line from (select *, regexp_replace(trim(subject), '\.+$', '') as s from c)) select conv_id, turn, line, length(line) > 72 as too_long from l",
+    "msg_sanitize": rf"""{JSON}, l as (select conv_id, turn, type, concat(lower(type), '(a-b): ', lower(substr(s, 1, 1)), substr(s, 2)) as line from (select *, regexp_replace(trim(subject), '\.+$', '') as s from c) where turn % 2 = 0
+      union all select conv_id, turn, 'feat', rtrim(concat('feat(x): ', lower(substr(b, 1, 1)), substr(b, 2))) from (select conv_id, turn, regexp_replace(text, '[^A-Za-z ]', '', 'g') as b from conversations where turn % 2 <> 0)),
+      e as (select *, case when lower(type) not in {_in(V.COMMIT_TYPES)} then concat('Invalid commit type: ', chr(39), lower(type), chr(39), '. Must be one of: {", ".join(V.COMMIT_TYPES)}') when length(line) > 72 then concat('First line is ', length(line), ' chars (max 72): ', chr(39), line, chr(39)) end as error from l)
+      select conv_id, turn, case when error is null then line end as message, error from e""",
+    "msg_template": "select conv_id, turn, concat('[', coalesce(role, ''), '] ', coalesce(text, ''), ' {{other}}') as filled from conversations",
     "msg_generic_subject": "select conv_id, turn, (turn + conv_id) % 6 in (0, 2, 4) and (turn + conv_id) % 6 <> 4 as generic from conversations",
     "msg_validate": rf"""{JSON}, v as (select *, regexp_replace(trim(subject), '\.+$', '') as s from c) select conv_id, turn, array_to_string(list_filter([case when lower(type) = 'fix' and conv_id % 2 <> 0 then '1' end, case when conv_id % 3 > 0 then '2' end, case when turn % 2 = 0 and lower(type) in ('feat', 'fix') then '4' end,
       case when conv_id % 5 = 0 and lower(type) <> 'chore' then '5' end, case when length(s) + strlen(type) + strlen(scope) + 4 > 72 then '7' end], lambda x: x is not null), ',') as violations from v""",

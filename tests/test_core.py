@@ -173,6 +173,29 @@ def brute_wrap(text, width):
     return "\n".join(out)
 
 
+def test_sanitize(spark):
+    """One response a row: JSON and plain paths, trailers, limits and errors."""
+    long = "word " * 30
+    cases = [
+        ('<think>{"type": 1}</think> {"type":"Feat","scope":"a  b","subject":"Add it..","body":" two  words ","breaking_change":"gone"} bye', "feat(a-b)!: add it\n\ntwo words\n\nBREAKING CHANGE: gone", None),
+        ('{"type":"fix","scope":" x","subject":"Cut\\u0007 it","body":null,"breaking_change":" NULL "}', "fix: cut it", None),
+        ('{"type":"fix","subject":"x","breaking_change":"' + long + '"}', "fix!: x\n\nBREAKING CHANGE: " + brute_wrap(long, 55).replace("\n", "\n  "), None),
+        ('{"type":"yolo","subject":"x"}', None, "Invalid commit type: 'yolo'. Must be one of: feat, fix, refactor, docs, test, chore, style, perf, build, ci, revert"),
+        ('{"type":"fix","subject":"' + "y" * 80 + '"}', None, "First line is 85 chars (max 72): 'fix: " + "y" * 80 + "'"),
+        ("Here is the commit message: fix(a): Mend it\nbody", "fix(a): mend it\nbody", None),
+        ("nothing of the kind at all", None, "Message doesn't start with a valid type. Got: 'nothing of the kind '"),
+        ("feat: " + "z" * 70, None, "First line is 76 chars (max 72): 'feat: " + "z" * 70 + "'"),
+        (None, None, "Message doesn't start with a valid type. Got: ''"),
+        ("", None, "Message doesn't start with a valid type. Got: ''"),
+        ("{" * 20000 + "x" * 200000, None, "Message doesn't start with a valid type. Got: '" + "{" * 20 + "'"),
+    ]
+    rows = spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "k int, raw string")
+    got = {r.k: (r.s.message, r.s.error) for r in rows.select("k", messages.sanitize(F.col("raw")).alias("s")).collect()}
+    assert [got[k] for k in range(len(cases))] == [c[1:] for c in cases]
+    bare = rows.where("k = 0").select(messages.sanitize(F.col("raw"), scoped=False, with_body=False, lowered=False)["message"]).first()[0]
+    assert bare == "feat!: Add it\n\nBREAKING CHANGE: gone"
+
+
 def test_wrap_against_brute_force(spark):
     rng = random.Random(4)
     texts = ["".join(rng.choice("abé  \n\t") * rng.choice([1, 1, 2, 9]) for _ in range(rng.randrange(60))) for _ in range(200)] + ["", "x" * 90, None]

@@ -48,20 +48,24 @@ def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Captures of pages, since the tables have none: each page is a full response, and every third one a not-modified
-    revisit of its URL some time later (record_id: twice the page_id, and one more for the revisit). Times and
-    validators follow from page_id."""
+    """Captures of pages, since the tables have none. Each page has three responses (record_id: four times the page_id, and
+    one, two more) and, after the second of them, a not-modified revisit (three more). The second response has the page's
+    text, the others its URL. By page_id, the validators are etags, last-modified or none, and every fifth page's revisit has
+    a validator that no response has."""
     start = F.lit(1700000000) + F.pmod(F.col("page_id") * 7919, F.lit(86400 * 30))
-    tag = lambda n: F.concat(F.lit('"'), n.cast("string"), F.lit('"'))
-    row = lambda record, seconds, kind, etag, body: pages.select(record.alias("record_id"), "url", F.timestamp_seconds(seconds).alias("at"), F.lit(kind).alias("kind"), F.create_map(F.lit("etag"), etag, F.lit("date"), record.cast("string"), F.lit("content-type"), F.lit("text/html")).alias("headers"), body.alias("body"), "page_id")
-    full = row(F.col("page_id") * 2, start, "response", tag(F.col("page_id")), F.col("html"))
-    again = row(F.col("page_id") * 2 + 1, start + 86400, "revisit", F.when(F.col("page_id") % 5 == 0, '"new"').otherwise(tag(F.col("page_id"))), F.lit(None).cast("string")).where("page_id % 3 = 0")
-    return full.unionByName(again).drop("page_id")
+    kind = F.pmod("page_id", F.lit(4))
+    row = lambda k, seconds, what, body: F.struct((F.col("page_id") * 4 + k).alias("record_id"), (start + seconds).alias("seconds"), F.lit(what).alias("kind"), (F.col("page_id") * 4 + (1 if what == "revisit" else k)).alias("version"), body.alias("body"))
+    every = F.array(row(0, 0, "response", F.col("url")), row(1, 43200, "response", F.col("html")), row(2, 129600, "response", F.col("url")), row(3, 86400, "revisit", F.lit(None).cast("string")))
+    rows = pages.select("page_id", "url", F.explode(every).alias("c")).select("page_id", "url", "c.*")
+    revisit = F.col("kind") == "revisit"
+    tag = F.when(revisit & (F.pmod("page_id", F.lit(5)) == 0), "new").otherwise(F.concat(F.lit("v"), F.col("version")))
+    headers = F.create_map(F.lit("etag"), F.when(kind < 2, tag), F.lit("last-modified"), F.when(kind == 2, tag), F.lit("date"), F.col("record_id").cast("string"), F.lit("server"), F.when(revisit, "front").otherwise("origin"))
+    return rows.select("record_id", "url", F.timestamp_seconds("seconds").alias("at"), "kind", headers.alias("headers"), "body")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.resolve(captures(table(spark, sf_dir, "pages")))
-    return out.select(((F.col("record_id") - 1) / 2).cast("long").alias("page_id"), "canonical_url", (F.col("response_id") / 2).cast("long").alias("response_page_id"), "status", F.col("headers")["date"].alias("merged_date"), F.sha2(F.col("body").cast("binary"), 256).alias("body_sha256"))
+    return out.select(F.expr("(record_id - 3) div 4").alias("page_id"), "canonical_url", "response_id", "status", F.col("headers")["date"].alias("merged_date"), F.col("headers")["server"].alias("merged_server"), F.sha2(F.col("body").cast("binary"), 256).alias("body_sha256"))
 
 
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

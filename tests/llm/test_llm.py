@@ -200,7 +200,7 @@ def test_signatures_meet_when_similar():
 
 
 def test_revisits_with_each_validator(spark):
-    """The registered query has etags and one response a URL only; here pages have three responses and all validators."""
+    """Three responses and three revisits a URL, with each kind of validator."""
     kinds = ["etag", "last-modified", None]
     rows = []
     for page in range(30):

@@ -9,19 +9,34 @@ from .common import saved
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links: a, b. (node, component) for each node of a link; component is the smallest node that can be reached. Each
-    round takes the smallest label of the neighbours, then that label's own label, so that chains halve; what moves is
-    reduced on the map side first. Links with a null end are left out."""
+    """links: a, b. (node, component) for each node of a link; component is the smallest node that can be reached. Links
+    with a null end are left out.
+
+    Each round takes the smallest neighbour of each node, follows these to their ends, and puts the ends in place of the
+    nodes: a link inside one of these groups is gone, so that most links meet labels once, however many rounds follow."""
     kept = links.where("a is not null and b is not null")
-    edges = saved(kept.select("a", "b").union(kept.select("b", "a")).distinct())
-    labels = saved(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component")))
+    edges = saved(kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = None
     while True:
-        told = edges.join(labels, edges["b"] == labels["node"]).select(F.col("a").alias("node"), "component")
-        least = saved(labels.union(told).groupBy("node").agg(F.min("component").alias("component")))
-        up = least.select(F.col("node").alias("component"), F.col("component").alias("upper"))
-        nearer = saved(least.join(up, "component").select("node", F.col("upper").alias("component")))
-        old = labels.select("node", F.col("component").alias("old"))
-        same = nearer.join(old, "node").where("component <> old").isEmpty()
-        labels = nearer
-        if same:
+        both = edges.select(F.col("a").alias("node"), F.least("a", "b").alias("least")).union(edges.select("b", F.least("a", "b")))
+        ends = _ends(saved(both.groupBy("node").agg(F.min("least").alias("component"))))
+        if labels is None:
+            labels = ends
+        else:
+            further = ends.select(F.col("node").alias("component"), F.col("component").alias("upper"))
+            labels = saved(labels.join(further, "component", "left").select("node", F.coalesce("upper", "component").alias("component")))
+        low, high = (ends.select(F.col("node").alias(side), F.col("component").alias(f"{side}_end")) for side in ("a", "b"))
+        moved = edges.join(low, "a").select("a_end", "b").join(high, "b").where("a_end <> b_end")
+        edges = saved(moved.select(F.least("a_end", "b_end").alias("a"), F.greatest("a_end", "b_end").alias("b")).distinct())
+        if edges.isEmpty():
             return labels
+
+
+def _ends(nearer: DataFrame) -> DataFrame:
+    """(node, component) with each component, a smaller node or the node itself, followed to its end."""
+    while True:
+        up = nearer.select(F.col("node").alias("component"), F.col("component").alias("upper"))
+        jumped = saved(nearer.join(up, "component").select("node", "component", "upper"))
+        nearer = jumped.select("node", F.col("upper").alias("component"))
+        if jumped.where("upper <> component").isEmpty():
+            return nearer

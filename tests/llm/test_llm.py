@@ -185,6 +185,26 @@ def test_units_hold_every_open_pair(spark):
     assert sorted(sorted(x) for x in units.values()) == [[10, 11, 12, 13, 14, 15]]
 
 
+def test_components_drop_links_inside_groups(spark, monkeypatch):
+    """Links meet labels once where groups are dense; chains, nulls and links to itself are known."""
+    from changelens.llm import graph
+
+    sizes, saved = [], graph.saved
+
+    def noted(df):
+        out = saved(df)
+        sizes.extend([out.count()] if out.columns == ["a", "b"] else [])
+        return out
+
+    monkeypatch.setattr(graph, "saved", noted)
+    dense = [(i, j) for i in range(12) for j in range(12) if i != j]
+    got = graph.components(spark.createDataFrame(dense, "a long, b long")).collect()
+    assert {r.node: r.component for r in got} == {i: 0 for i in range(12)} and sizes == [66, 0]
+    chain = [(100 + (k * 7) % 31, 100 + ((k + 1) * 7) % 31) for k in range(30)] + [(5, 5), (6, None), (None, 7), (8, 9)]
+    got = graph.components(spark.createDataFrame(chain, "a long, b long")).collect()
+    assert {r.node: r.component for r in got} == {k: 100 for k in range(100, 131)} | {5: 5, 8: 8, 9: 8} and len(got) == 34
+
+
 def test_signatures_meet_when_similar():
     import numpy as np
 

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from changelens.llm import bpe, decontaminate, exact_dedup, shingle_join, toxicity
 from changelens.llm.common import shared_folder, table
 
+#: Text of a block of the last stage. Its Python workers have run the other stages before and keep what these took, so blocks
+#: are smaller than those of the operator alone.
+BPE_BLOCK_BYTES = 8 << 20
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under 0.7; null and empty texts have the score of no evidence."""
@@ -33,7 +37,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, and whether decoding gives the text back."""
-    out = bpe.round_trip(docs)
+    out = bpe.round_trip(docs, block_bytes=BPE_BLOCK_BYTES)
     digest = F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
     return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), digest)
 

@@ -63,3 +63,13 @@ def test_run(spark, folder):
         ids = tool.encode(texts[i] or "", add_special_tokens=False).ids
         assert list(got[i].ids) == ids and got[i].n_tokens == len(ids)
         assert got[i].decoded_sha256 == hashlib.sha256((texts[i] or "").encode()).hexdigest()
+
+
+def test_last_stage_has_smaller_blocks(spark, monkeypatch):
+    """Its workers keep what the stages before took."""
+    from changelens.llm import bpe
+
+    asked, own = [], bpe.round_trip
+    monkeypatch.setattr(bpe, "round_trip", lambda docs, **options: asked.append(options) or own(docs, **options))
+    corpus_pipeline.tokenise(spark, spark.createDataFrame([(1, "a b")], "doc_id long, text string"), "")
+    assert asked[0]["block_bytes"] < bpe.BLOCK_BYTES / 3

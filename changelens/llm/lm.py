@@ -29,8 +29,9 @@ SYMBOLS = 256
 START, END = 0xFE, 0xFF  # bytes that no UTF-8 text has
 UPPER = bytes(range(65, 91))
 LOWER = bytes.maketrans(UPPER, UPPER.lower())
-#: Bytes of a block's text; of texts whose words are looked up at once; symbols whose n-grams are made at once.
-BLOCK_BYTES, AT_ONCE, SLICE = 32 << 20, 2 << 20, 1 << 19
+#: Bytes of a block's text; of texts whose words are looked up at once; symbols whose n-grams are made at once; rows that
+#: go back to Spark at once. Blocks come and go in batches, so that neither side holds a block's rows in one Arrow buffer.
+BLOCK_BYTES, AT_ONCE, SLICE, ROWS = 16 << 20, 2 << 20, 1 << 19, 1 << 16
 
 
 def words_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, pa.Array]:
@@ -77,7 +78,7 @@ class Counts:
         distinct, n = np.unique(keys, return_counts=True)
         self.parts.append((distinct, n * weight))
         self.held += len(distinct)
-        if self.held > 1_000_000:
+        if self.held > 300_000:
             self.parts = [self.total()]
             self.held = 0  # what stays is merged again only after as many more
 
@@ -88,30 +89,69 @@ class Counts:
         return keys, np.bincount(place, np.concatenate([n for _, n in self.parts]), len(keys)).astype(np.int64)
 
 
-def _asked(block: pa.Table) -> pa.Table:
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, gram, word, n): the distinct n-grams and words of a block and how often training rows have them."""
-    counts, tables = Counts(), []
-    for rows, texts in chunks(block, AT_ONCE):
-        held = rows["held_out"].to_numpy()
-        words, lengths, joined = words_of(texts)
-        weights = np.repeat((~held).astype(np.int64), lengths)
-        tables.append(pa.table({"word": words, "n": weights}).group_by("word", use_threads=False).aggregate([("n", "sum")]))
-        for start, keys, begins in grams(joined):
-            sizes = np.diff(np.append(begins, len(keys)))
-            out = np.repeat(held[start : start + len(begins)], sizes)
-            counts.add(keys[~out], 1)
-            counts.add(keys[out], 0)
+    counts, tables, block = Counts(), [], None
+    for batch in batches:
+        block = batch["block"][0].as_py()
+        for rows, texts in chunks(pa.Table.from_batches([batch]), AT_ONCE):
+            held = rows["held_out"].to_numpy()
+            words, lengths, joined = words_of(texts)
+            weights = np.repeat((~held).astype(np.int64), lengths)
+            tables.append(pa.table({"word": words, "n": weights}).group_by("word", use_threads=False).aggregate([("n", "sum")]))
+            for start, keys, begins in grams(joined):
+                sizes = np.diff(np.append(begins, len(keys)))
+                out = np.repeat(held[start : start + len(begins)], sizes)
+                counts.add(keys[~out], 1)
+                counts.add(keys[out], 0)
     keys, n = counts.total()
+    for k in range(0, len(keys), ROWS):
+        part = pa.array(keys[k : k + ROWS])
+        yield _asking(block, part, pa.nulls(len(part), pa.binary()), pa.array(n[k : k + ROWS]))
+    del counts, keys, n
     words = pa.concat_tables(tables).group_by("word", use_threads=False).aggregate([("n_sum", "sum")]).sort_by("word")
-    size = len(keys) + len(words)
-    return pa.table(
-        {
-            "block": pa.array(np.full(size, block["block"][0].as_py(), np.int32)),
-            "gram": pa.chunked_array([pa.array(keys), pa.nulls(len(words), pa.int64())]),
-            "word": pa.chunked_array([pa.nulls(len(keys), pa.binary()), *words["word"].chunks]),
-            "n": pa.chunked_array([pa.array(n), *words["n_sum_sum"].chunks]),
-        }
-    )
+    for part in words.to_batches(max_chunksize=ROWS):
+        yield _asking(block, pa.nulls(len(part), pa.int64()), part["word"], part["n_sum_sum"])
+
+
+def _asking(block: int, gram: pa.Array, word: pa.Array, n: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block, np.int32)), gram, word, n], names=["block", "gram", "word", "n"])
+
+
+class Places:
+    """Where distinct numbers stand in their array, by open addressing: a few reads a number, not a binary search over all."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.keys, self.shift, self.mask = keys, np.uint64(64 - bits), (1 << bits) - 1
+        self.slots = np.full(1 << bits, -1, np.int32)
+        rest, at = np.arange(len(keys), dtype=np.int32), self._slot(keys)
+        while len(rest):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = rest[free]
+            lost = self.slots[at] != rest
+            rest, at = rest[lost], (at[lost] + 1) & self.mask
+
+    def _slot(self, wanted: np.ndarray) -> np.ndarray:
+        return ((wanted.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, wanted: np.ndarray) -> np.ndarray:
+        """The places of numbers that are all among the keys."""
+        at = self._slot(wanted)
+        out = self.slots[at]
+        if (out < 0).any():
+            raise KeyError("a number that is not among the keys")
+        miss = np.flatnonzero(self.keys[out] != wanted)
+        at = at[miss]
+        while len(miss):
+            at = (at + 1) & self.mask
+            got = self.slots[at]
+            if (got < 0).any():
+                raise KeyError("a number that is not among the keys")
+            out[miss] = got
+            left = self.keys[got] != wanted[miss]
+            miss, at = miss[left], at[left]
+        return out
 
 
 def tree(counts: DataFrame, smoothing: float = 2.0, least: int = 2, divergence: float = 1.0) -> DataFrame:
@@ -142,14 +182,29 @@ def tree(counts: DataFrame, smoothing: float = 2.0, least: int = 2, divergence:
     return lower.select("gram", F.log10("p").alias("logp"))
 
 
-def _scored(block: pa.Table, got: pa.Table) -> pa.Table:
+def _answers(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """What a block has got, in any order: its documents (doc_id, held_out, z); n-grams and their logarithms; words, their
+    counts and whether this block is the first with them. Each row is one of three: with data alone a document, with
+    data and value a word, with value alone an n-gram."""
+    docs, keys, logs, words, counts, first = [], [], [], [], [], []
+    for batch in batches:
+        data, value = batch["data"].is_valid(), batch["value"].is_valid()
+        own = batch.filter(pc.and_not(data, value))
+        docs.append(pa.table({"doc_id": own["doc_id"], "held_out": pc.not_equal(own["key"], 0), "z": own["data"]}))
+        own = batch.filter(pc.and_not(value, data))
+        keys.append(own["key"].to_numpy())
+        logs.append(own["value"].to_numpy())
+        own = batch.filter(pc.and_(data, value))
+        words.append(own["data"])
+        counts.append(own["value"].to_numpy().astype(np.int64))
+        first.append(own["key"].to_numpy() > 0)
+    return pa.concat_tables(docs), np.concatenate(keys), np.concatenate(logs), pa.concat_arrays(words), np.concatenate(counts), np.concatenate(first)
+
+
+def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of each text of a block by the answers; and a last row with the block's share of the training words."""
-    is_word = pc.is_valid(got["word"])
-    words, found = got.filter(is_word), got.filter(pc.invert(is_word))
-    order = np.argsort(found["gram"].to_numpy())
-    keys, logs = found["gram"].to_numpy()[order], found["logp"].to_numpy()[order]
-    known = pa.concat_arrays(words["word"].chunks) if words.num_rows else pa.array([], pa.binary())
-    c, first = words["c"].to_numpy(), words["first"].to_numpy()
+    block, keys, logs, known, c, first = _answers(batches)
+    at = Places(keys)
     out: dict[str, list] = {"doc_id": [], "held_out": [], "n_words": [], "n_known": [], "logs": [], "score": []}
     sums = lambda values, owner, size: np.bincount(owner, values, size)
     for rows, texts in chunks(block, AT_ONCE):
@@ -162,12 +217,12 @@ def _scored(block: pa.Table, got: pa.Table) -> pa.Table:
         out["n_known"] += sums(own > 0, owner, len(texts)).astype(np.int64).tolist()
         out["logs"] += sums(np.log10(own + 1.0), owner, len(texts)).tolist()
         for _, places, begins in grams(joined):
-            out["score"] += np.add.reduceat(logs[np.searchsorted(keys, places)], begins).tolist()
+            out["score"] += np.add.reduceat(logs[at(places)], begins).tolist()
     # Numbers, so that no id is lost in the last row: (training words, distinct ones) of this block's first sightings.
     held = np.array(out["held_out"])
     last = {"doc_id": None, "held_out": None, "n_words": int(c[first].sum()), "n_known": int((c[first] > 0).sum()), "logs": float(len(held) - held.sum()), "score": None}
     kinds = {"doc_id": block.schema.field("doc_id").type, "held_out": pa.bool_(), "n_words": pa.int64(), "n_known": pa.int64(), "logs": pa.float64(), "score": pa.float64()}
-    return pa.table({name: pa.array([*out[name], last[name]], kind) for name, kind in kinds.items()})
+    yield pa.RecordBatch.from_arrays([pa.array([*out[name], last[name]], kind) for name, kind in kinds.items()], names=list(kinds))
 
 
 def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = 7, held: int = 2, block_bytes: int = BLOCK_BYTES, **options) -> DataFrame:
@@ -186,10 +241,14 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor:
 
     same = Window.partitionBy("word")
     words = asked.where("word is not null").select("block", "word", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("block")) == 1).alias("first"))
-    told = asked_grams.join(model, "gram").selectExpr("block", "gram", "logp", "cast(null as binary) as word", "cast(null as long) as c", "cast(null as boolean) as first")
-    answers = told.unionByName(words.selectExpr("block", "cast(null as long) as gram", "cast(null as double) as logp", "word", "c", "first"))
     kind = docs.select(doc_id).schema[0].dataType.simpleString()
-    sums = saved(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored, f"doc_id {kind}, held_out boolean, n_words long, n_known long, logs double, score double"))
+    # Documents and answers in one exchange, with the columns that _answers() names.
+    none = f"cast(null as {kind}) as doc_id"
+    texts = blocks.selectExpr("block", "doc_id", "cast(held_out as long) as key", "cast(null as double) as value", "z as data")
+    told = asked_grams.join(model, "gram").selectExpr("block", none, "gram as key", "logp as value", "cast(null as binary) as data")
+    counted = words.selectExpr("block", none, "cast(first as long) as key", "cast(c as double) as value", "word as data")
+    answered = texts.unionByName(told).unionByName(counted).groupBy("block")
+    sums = saved(answered.applyInArrow(_scored, f"doc_id {kind}, held_out boolean, n_words long, n_known long, logs double, score double"))
 
     seen = sums.where("held_out is null").agg(F.sum("n_words"), F.sum("n_known"), F.sum("logs")).first()
     texts = int(seen[2] or 0)

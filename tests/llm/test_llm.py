@@ -306,6 +306,56 @@ def test_lm_of_odd_rows(spark):
     assert {r.n_tokens for r in got if r.doc_id in (3, 4, 5)} == {1} and {r.n_tokens for r in got if r.doc_id == 6} == {3002}
 
 
+def test_lm_blocks_come_and_go_in_bounded_batches():
+    """Whatever a block holds, neither what it asks for nor what it gets is one Arrow batch."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+    import zstandard
+
+    rng = random.Random(3)
+    texts = [" ".join("%06x" % rng.randrange(1 << 24) for _ in range(400)) for _ in range(400)]
+    tool = zstandard.ZstdCompressor()
+    block = pa.table({"block": pa.array([5] * 400, pa.int32()), "doc_id": range(400), "held_out": [i % 7 == 2 for i in range(400)], "z": [tool.compress(t.encode()) for t in texts]})
+    asked = list(lm._asked(iter(block.to_batches(max_chunksize=90))))
+    assert len(asked) > 2 and max(map(len, asked)) <= lm.ROWS and all(b["block"].unique().to_pylist() == [5] for b in asked)
+    asked = pa.Table.from_batches(asked)
+    words, n = (asked.filter(asked["word"].is_valid())[k].to_pylist() for k in ("word", "n"))
+    own = Counter(w for i, t in enumerate(texts) if i % 7 != 2 for w in t.encode().split())
+    assert sorted(words) == sorted({w for t in texts for w in t.encode().split()}) and all(own[w] == k for w, k in zip(words, n))
+    keys = asked["gram"].drop_null()
+    assert asked["n"].to_pylist()[: len(keys)] and sum(asked["n"].to_pylist()[: len(keys)]) == sum(len(t) + 1 for i, t in enumerate(texts) if i % 7 != 2)
+    size, none = len(keys) + len(words), lambda k, kind: pa.nulls(k, kind)
+    got = pa.table(
+        {
+            "block": pa.array([5] * (400 + size), pa.int32()),
+            "doc_id": pa.chunked_array([block["doc_id"].combine_chunks(), none(size, pa.int64())]),
+            "key": pa.chunked_array([block["held_out"].combine_chunks().cast(pa.int64()), keys.combine_chunks(), pa.array([1] * len(words), pa.int64())]),
+            "value": pa.chunked_array([none(400, pa.float64()), pa.array([-1.0] * len(keys)), pa.array(n, pa.float64())]),
+            "data": pa.chunked_array([block["z"].combine_chunks(), none(len(keys), pa.binary()), pa.array(words, pa.binary())]),
+        }
+    ).take(np.random.default_rng(1).permutation(400 + size))
+    [out] = lm._scored(iter(got.combine_chunks().to_batches(max_chunksize=1000)))
+    rows = out.to_pylist()
+    by_id = {r["doc_id"]: r for r in rows[:-1]}
+    assert len(rows) == 401 and all(by_id[i]["score"] == -len(t) - 1 and by_id[i]["n_words"] == 400 and by_id[i]["held_out"] == (i % 7 == 2) for i, t in enumerate(texts))
+    assert all(by_id[i]["n_known"] == sum(own[w] > 0 for w in t.encode().split()) for i, t in enumerate(texts))
+    assert rows[-1]["n_words"] == sum(own.values()) and rows[-1]["n_known"] == len(own) and rows[-1]["logs"] == sum(i % 7 != 2 for i in range(400))
+
+
+def test_lm_places():
+    import numpy as np
+
+    keys = np.random.default_rng(2).permutation(np.unique(np.random.default_rng(1).integers(0, 1 << 48, 50_000)))
+    wanted = np.random.default_rng(3).integers(0, len(keys), 200_000)
+    at = lm.Places(keys)
+    assert (at(keys[wanted]) == wanted).all() and len(at(keys[:0])) == 0 and lm.Places(keys[:1])(keys[:1]).tolist() == [0]
+    for k in (5, 1 << 50):
+        with pytest.raises(KeyError):
+            lm.Places(keys[keys != k])(np.array([k]))
+
+
 def test_words_of_the_tokenizer_are_cut_where_its_pieces_end():
     from tokenizers import Tokenizer
 

@@ -36,6 +36,8 @@ BLOCK_BYTES, AT_ONCE = 28 << 20, 2 << 20
 #: Words whose ids all blocks have at hand, at most: those most frequent in a sample of SAMPLE_BYTES of text. Ids do not
 #: depend on them, only how many rows move.
 FREQUENT, SAMPLE_BYTES = 400_000, 64 << 20
+#: Frequent words that the driver encodes at once: the library's answers take many times the ids' memory.
+ENCODED = 4096
 
 
 def default_file() -> str:
@@ -90,6 +92,16 @@ def _frequent(docs: DataFrame, word: re.Pattern, doc_id: str, text: str, size: i
     return counted.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word").toArrow()["word"].to_pylist()
 
 
+def _ids(tool, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each word has, and all ids in order."""
+    sizes, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    for k in range(0, len(words), ENCODED):
+        part = [e.ids for e in tool.encode_batch_fast(words[k : k + ENCODED], add_special_tokens=False)]
+        sizes.append(np.fromiter(map(len, part), np.int64, len(part)))
+        flat.append(np.fromiter(chain.from_iterable(part), np.int32))
+    return np.concatenate(sizes), np.concatenate(flat)
+
+
 @lru_cache(maxsize=1)
 def _places(words: bytes) -> dict[str, int]:
     """The places of the frequent words, made once per Python worker."""
@@ -129,8 +141,7 @@ def _round(docs: DataFrame, tokenizer: str | None, doc_id: str, text: str, block
     word, size = words_of(model), text_bytes(docs, text)
     blocks = dealt(docs, {"doc_id": f"`{doc_id}`"}, text, size, block_bytes)
     frequent = _frequent(docs, word, doc_id, text, size)
-    first = [e.ids for e in _tool(model).encode_batch_fast(frequent, add_special_tokens=False)]
-    sizes, flat = np.fromiter(map(len, first), np.int64, len(first)), np.fromiter(chain.from_iterable(first), np.int32)
+    sizes, flat = _ids(_tool(model), frequent)
     words = b"\xff".join(w.encode() for w in frequent)  # a byte that no UTF-8 text has
     told = docs.sparkSession.sparkContext.broadcast((model, words, sizes, flat, pieces(tokenizer) if back else []))
 

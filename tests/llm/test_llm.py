@@ -135,6 +135,23 @@ def test_bpe(spark, block_bytes):
     assert bpe.encode(docs(spark, [])).count() == 0
 
 
+def test_bpe_driver_encodes_few_words_at_once(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    tool, sizes = Tokenizer.from_file(bpe.default_file()), []
+
+    class Told:
+        def encode_batch_fast(self, words, **options):
+            sizes.append(len(words))
+            return tool.encode_batch_fast(words, **options)
+
+    monkeypatch.setattr(bpe, "_tool", lambda model: Told())
+    text = " ".join("w%d" % k for k in range(10_000))
+    got = {r.doc_id: r.ids for r in bpe.encode(docs(spark, [(1, text), (2, text)])).collect()}
+    assert got[1] == got[2] == tool.encode(text, add_special_tokens=False).ids
+    assert sum(sizes) >= 9999 and max(sizes) <= 5000
+
+
 def brute_components(rows, width=3):
     sets = {i: frozenset(tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))) if w else frozenset() for i, t in rows for w in [re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())]}
     up = {i: i for i in sets}

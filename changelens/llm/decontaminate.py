@@ -110,8 +110,9 @@ def _index(spark, block: list[tuple[int, list[bytes], list[bytes]]], rank: int,
             return cells.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(16))).groupBy("part").applyInArrow(of, "term binary, v array<double>").toArrow()
 
         y = np.zeros((n, width))
-        for p, v in zip(*[c.to_pylist() for c in cells.select("passage", "term", "w").mapInArrow(sketch, "passage int, v array<double>").toArrow().columns]):
-            y[p] += v
+        # Not as Python's numbers: there is a matrix for each batch.
+        for part in cells.select("passage", "term", "w").mapInArrow(sketch, "passage int, v array<double>").toArrow().to_batches():
+            np.add.at(y, part["passage"].to_numpy(), part["v"].flatten().to_numpy().reshape(-1, width))
         own = cells.toArrow()
         for step in range(2):
             q, _ = np.linalg.qr(y)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import bounded_batches
+from .common import bounded_batches, sweep
 
 #: Blocks at least, so that small inputs use all cores.
 LEAST = 12
@@ -35,6 +35,7 @@ def dealt(docs: DataFrame, columns: dict[str, str], text: str, size: int, block_
     rows = docs.select(F.pmod(place, F.lit(count)).cast("int").alias("block"), *kept, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("z"))
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sweep()
         tool = zstandard.ZstdCompressor(level=5)
         for batch in batches:
             small = pa.array([tool.compress(x.as_py()) for x in batch.column(batch.num_columns - 1)], pa.binary())

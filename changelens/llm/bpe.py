@@ -19,12 +19,13 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from .blocks import chunks, dealt, text_bytes
-from .common import bounded_batches
+from .common import bounded_batches, sweep
 
 #: Unicode's White_Space (fixed values).
 SPACES = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -32,12 +33,12 @@ SPACES = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u2
 LETTERS = "0-9A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u017f"
 WORD = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 CUT = re.compile(f"[{SPACES}]*[^{SPACES}.,]+(?:(?<=[{LETTERS}])(?=[.,])|[^{SPACES}]*)|[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
-BLOCK_BYTES, AT_ONCE = 28 << 20, 2 << 20
+BLOCK_BYTES, AT_ONCE = 28 << 20, 512 << 10
 #: Words whose ids all blocks have at hand, at most: those most frequent in a sample of SAMPLE_BYTES of text. Ids do not
 #: depend on them, only how many rows move.
 FREQUENT, SAMPLE_BYTES = 400_000, 64 << 20
-#: Frequent words that the driver encodes at once: the library's answers take many times the ids' memory.
-ENCODED = 4096
+#: Words that are encoded at once: the library's answers take many times the ids' memory.
+ENCODED = 1024
 
 
 def default_file() -> str:
@@ -67,21 +68,26 @@ def _tool(model: str):
     return tool
 
 
-def _distinct(block: pa.Table, word: re.Pattern, known: dict[str, int]) -> list[str]:
-    """The distinct words of a block that are not known, in order."""
+def _distinct(block: pa.Table, word: re.Pattern, frequent: pa.Array) -> tuple[dict[str, int], list[str]]:
+    """The places of the block's distinct words among the frequent ones, and its other words in order. The block's words are
+    hashed for that, which a block bounds, and not the frequent ones: as Python's objects these took 80 MB of each worker."""
     found: set[str] = set()
     for _, texts in chunks(block, AT_ONCE):
         for text in texts:
             found.update(word.findall(text.decode()))
-    return sorted(found.difference(known))
+    words = list(found)
+    at = pc.index_in(frequent, value_set=pa.array(words, pa.large_string()))
+    known = {words[k]: place for k, place in zip(at.drop_null().to_pylist(), np.flatnonzero(at.is_valid()).tolist())}
+    return known, sorted(found.difference(known))
 
 
-def _frequent(docs: DataFrame, word: re.Pattern, doc_id: str, text: str, size: int) -> list[str]:
+def _frequent(docs: DataFrame, word: re.Pattern, doc_id: str, text: str, size: int) -> pa.Array:
     """The words that a sample of the texts has more than once, FREQUENT at most."""
     share = min(1.0, SAMPLE_BYTES / max(1, size))
     some = docs.where(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select(F.col(text)).where(F.col(text).isNotNull())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sweep()
         for batch in batches:
             counts: Counter = Counter()
             for x in batch.column(0).to_pylist():
@@ -89,32 +95,27 @@ def _frequent(docs: DataFrame, word: re.Pattern, doc_id: str, text: str, size: i
             yield pa.RecordBatch.from_arrays([pa.array(counts, pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
 
     counted = some.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-    return counted.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word").toArrow()["word"].to_pylist()
+    return counted.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word").toArrow()["word"].cast(pa.large_string()).combine_chunks()
 
 
-def _ids(tool, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _ids(tool, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """How many ids each word has, and all ids in order."""
     sizes, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
     for k in range(0, len(words), ENCODED):
-        part = [e.ids for e in tool.encode_batch_fast(words[k : k + ENCODED], add_special_tokens=False)]
+        part = [e.ids for e in tool.encode_batch_fast(words[k : k + ENCODED].to_pylist(), add_special_tokens=False)]
         sizes.append(np.fromiter(map(len, part), np.int64, len(part)))
         flat.append(np.fromiter(chain.from_iterable(part), np.int32))
     return np.concatenate(sizes), np.concatenate(flat)
 
 
-@lru_cache(maxsize=1)
-def _places(words: bytes) -> dict[str, int]:
-    """The places of the frequent words, made once per Python worker."""
-    return {w.decode(): k for k, w in enumerate(words.split(b"\xff"))} if words else {}
-
-
 def _encoded(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
     """(block, place, ids) of (block, place, word) in the order of the words: each distinct word is encoded once."""
+    sweep()
     tool, last, ids = _tool(model), None, []
     for batch in batches:
         words = batch.column(2).to_pylist()
         new = [w for before, w in zip([last, *words], words) if w != before]
-        told = iter(tool.encode_batch_fast(new, add_special_tokens=False))
+        told = chain.from_iterable(tool.encode_batch_fast(new[k : k + ENCODED], add_special_tokens=False) for k in range(0, len(new), ENCODED))
         sizes, flat = np.zeros(len(words) + 1, np.int32), []
         for k, w in enumerate(words):
             if w != last:
@@ -142,24 +143,26 @@ def _round(docs: DataFrame, tokenizer: str | None, doc_id: str, text: str, block
     blocks = dealt(docs, {"doc_id": f"`{doc_id}`"}, text, size, block_bytes)
     frequent = _frequent(docs, word, doc_id, text, size)
     sizes, flat = _ids(_tool(model), frequent)
-    words = b"\xff".join(w.encode() for w in frequent)  # a byte that no UTF-8 text has
-    told = docs.sparkSession.sparkContext.broadcast((model, words, sizes, flat, pieces(tokenizer) if back else []))
+    told = docs.sparkSession.sparkContext.broadcast((model, frequent, sizes, flat, pieces(tokenizer) if back else []))
 
     def ask(block: pa.Table) -> pa.Table:
-        words = _distinct(block, word, _places(told.value[1]))
+        sweep()
+        _, words = _distinct(block, word, told.value[1])
         return pa.table({"block": pa.array([block["block"][0].as_py()] * len(words), pa.int32()), "place": pa.array(np.arange(len(words), dtype=np.int32)), "word": pa.array(words, pa.string())})
 
     def finish(block: pa.Table, got: pa.Table) -> pa.Table:
-        _, words, sizes, flat, table = told.value
-        known, lists = _places(words), got.sort_by("place")["ids"].combine_chunks()
-        own = {w: len(known) + k for k, w in enumerate(_distinct(block, word, known))}
+        sweep()
+        _, frequent, sizes, flat, table = told.value
+        lists = got.sort_by("place")["ids"].combine_chunks()
+        places, own = _distinct(block, word, frequent)
+        places.update(zip(own, range(len(frequent), len(frequent) + len(own))))
         if own:
             sizes, flat = np.concatenate((sizes, lists.value_lengths().to_numpy())), np.concatenate((flat, lists.flatten().to_numpy()))
-        starts, place = np.concatenate(([0], np.cumsum(sizes))), lambda w: known[w] if w in known else own[w]
+        starts = np.concatenate(([0], np.cumsum(sizes)))
         out, table = [], Pieces(table) if back else None
         for rows, texts in chunks(block, AT_ONCE):
             found = [word.findall(t.decode()) for t in texts]
-            ids = _gathered(starts, flat, [np.fromiter(map(place, ws), np.int64, len(ws)) for ws in found])
+            ids = _gathered(starts, flat, [np.fromiter(map(places.__getitem__, ws), np.int64, len(ws)) for ws in found])
             out.append(pa.table({"doc_id": rows["doc_id"], "ids": ids} | ({"decoded": table(ids)} if back else {})))
         return pa.concat_tables(out)
 

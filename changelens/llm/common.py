@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import uuid
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +29,21 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    """The C library's function that returns freed memory; None where it has none."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def sweep() -> None:
+    """The memory that this process has freed goes back to the system. Python workers run task after task and stage after
+    stage, and neither the C library nor Arrow returns much by itself. Called where a task or a large group begins."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A folder of this application in the one that driver and executors share: spark.checkpoint.dir. Where that is unset,
     in the warehouse, which they share as well; on a cluster without either, writing fails rather than leaving parts on

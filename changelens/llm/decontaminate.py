@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sweep
+
 PASSAGE, WINDOW, BLOCK = 64, 64, 1000
 EDGES = re.compile(rb"^[^\w\x80-\xff]+|[^\w\x80-\xff]+$")
 UPPER = bytes(range(65, 91))
@@ -212,6 +214,7 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")).where("text is not null")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sweep()
         for batch in batches:
             got = [(i, *m) for i, t in zip(batch.column(0).to_pylist(), batch.column(1)) for m in finder(t.as_py())]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in got], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["doc_id", "item_id", "start", "cosine", "share"])
@@ -224,6 +227,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", **optio
     finder, at = scanner(items, **options), docs.columns.index(text)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sweep()
         for batch in batches:
             yield batch.filter(pa.array([not (t.is_valid and finder(t.as_py().encode())) for t in batch.column(at)], pa.bool_()))
 

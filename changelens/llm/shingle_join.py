@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, partitions, saved
+from .common import bounded_batches, partitions, saved, sweep
 from .graph import components
 
 GROUPS, FAN = 64, 16
@@ -192,6 +192,7 @@ def _features(docs: DataFrame, doc_id: str, text: str, width: int, percent: int)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sweep()
         shingler = Shingler(width)
         for batch in batches:
             n, c1, c2, sigs = [], [], [], []

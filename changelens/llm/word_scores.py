@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import bounded_batches, remainder
+from .common import bounded_batches, remainder, sweep
 
 #: Distinct words that a task keeps before it starts afresh, and bytes of text that it treats at once.
 KEPT_WORDS, AT_ONCE = 300_000, 2 << 20
@@ -47,6 +47,7 @@ def _summed(rows: DataFrame, at: int, whole: bool, values: Callable[[list[bytes]
     names = [*[f.name for f in kept], "n_words", "sums"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sweep()
         known: dict[bytes, int] = {}
         table = np.zeros((0, width))
         for batch in batches:

@@ -152,6 +152,49 @@ def test_bpe_driver_encodes_few_words_at_once(spark, monkeypatch):
     assert sum(sizes) >= 9999 and max(sizes) <= 5000
 
 
+def test_workers_give_freed_memory_back(tmp_path):
+    """Of many small pieces, every hundredth stays, so that the C library keeps the pages of the others."""
+    import subprocess
+    import sys
+
+    code = f"""
+import re, sys
+sys.path[:0] = {sys.path!r}
+import pyarrow as pa
+from changelens.llm import bpe
+def held():
+    return int(re.search(r"Private_Dirty:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) // 1024
+model = open(bpe.default_file(), encoding="utf-8").read()
+batch = pa.RecordBatch.from_pydict({{"block": pa.array([0], pa.int32()), "place": pa.array([0], pa.int32()), "word": ["a"]}})
+list(bpe._encoded(iter([batch]), model))
+before = held()
+kept = [bytes(4000) for k in range(50_000)][::100]
+print(held() - before)
+list(bpe._encoded(iter([batch]), model))
+print(held() - before)
+"""
+    left, swept = map(int, subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, text=True).stdout.split())
+    assert left > 150 and swept < 40
+
+
+def test_bpe_holds_no_frequent_words_as_python_objects():
+    import tracemalloc
+
+    import pyarrow as pa
+    import zstandard
+
+    frequent = pa.array(["w%d" % k for k in range(200_000)], pa.large_string())
+    block = pa.table({"z": pa.array([zstandard.compress(t) for t in (b"w7 x w199999", b"b  w7 a", b"")], pa.binary())})
+    tracemalloc.start()
+    try:
+        known, own = bpe._distinct(block, re.compile("[^ ]+"), frequent)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert known == {"w7": 7, "w199999": 199_999} and own == ["a", "b", "x"]
+    assert most < 4 << 20
+
+
 def brute_components(rows, width=3):
     sets = {i: frozenset(tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))) if w else frozenset() for i, t in rows for w in [re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())]}
     up = {i: i for i in sets}

@@ -214,7 +214,6 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")).where("text is not null")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sweep()
         for batch in batches:
             got = [(i, *m) for i, t in zip(batch.column(0).to_pylist(), batch.column(1)) for m in finder(t.as_py())]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in got], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["doc_id", "item_id", "start", "cosine", "share"])
